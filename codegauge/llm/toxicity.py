@@ -3,11 +3,16 @@
 A document is a bag of sentences. A sentence scores sigmoid(bias + the sum of its words' weights), and a document is
 toxic if any sentence is: noisy-or, 1 - prod(1 - sentence score). Weights are learned from document labels
 alone, by gradient ascent on the noisy-or likelihood; the sentence scores then locate what offends.
+
+A word's weight is the sum over its parts: the word and its runs of four and five letters, so that inflected and
+compound forms share what is learned. Parts that are no more frequent in toxic documents than chance allows
+get no weight.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,83 +21,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
-
 #: Labelled documents that the classifier is fitted on: at most so many of each label, picked by hash.
 FIT_TOXIC, FIT_CLEAN = 2500, 5000
-#: Words are hashed to so many features; a feature needs MIN_DOCS documents of the sample.
-FEATURES, MIN_DOCS = 1 << 18, 4
+#: A part needs so many documents of the sample and so many standard errors; the model has at most MAX_PARTS.
+MIN_DOCS, MIN_Z, MAX_PARTS = 6, 6.0, 20_000
 THRESHOLD = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_FOLD = bytes(c if c >= 128 or chr(c).isalpha() or c == 39 else 32 for c in range(256)).lower()
+_WORD = re.compile(r"[^\W\d_]+")
+
+Model = tuple[dict[str, float], float]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of each sentence, in characters: runs without . ! ? or line break that hold a word."""
+    """(start, end) of each sentence, in characters: runs without . ! ? or line break that are not all spaces."""
     return [m.span() for m in _SENTENCE.finditer(text or "") if not m[0].isspace()]
 
 
-class Featurizer:
-    """Sentences to hashed word features; remembers words up to a bound."""
+def parts_of(word: str) -> set[str]:
+    w = f"<{word}>"
+    return {w, *(w[k : k + n] for n in (4, 5) for k in range(len(w) - n + 1))}
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-        """(spans, features of all sentences one after another, how many each has)."""
-        import xxhash
+def bag_of(text: str | None) -> list[list[str]]:
+    low = (text or "").lower()
+    return [_WORD.findall(low[a:b]) for a, b in sentences(low)]
 
-        spans = sentences(text)
-        bags = [text[a:b].encode().translate(_FOLD).split() for a, b in spans]
-        flat = [w for b in bags for w in b]
-        if len(self.known) > 500_000:
-            self.known.clear()
-        got = list(map(self.known.get, flat))
-        if None in got:
-            self.known.update((w, xxhash.xxh64_intdigest(w, 7) % FEATURES) for w, g in zip(flat, got) if g is None)
-            got = list(map(self.known.__getitem__, flat))
-        return spans, np.array(got, np.int64), np.array([len(b) for b in bags], np.int64)
+
+def noisy_or(scores: np.ndarray) -> float:
+    return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum())) if len(scores) else 0.0
 
 
-def sentence_scores(features: np.ndarray, counts: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(weights[features])])
-    ends = np.cumsum(counts)
-    z = bias + total[ends] - total[ends - counts]
+def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def noisy_or(scores: np.ndarray) -> float:
-    return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum())) if len(scores) else 0.0
+class Scorer:
+    """Spans and scores of a text's sentences; remembers words' weights up to a bound."""
 
+    def __init__(self, model: Model):
+        self.weights, self.bias = model
+        self.known: dict[str, float] = {}
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 250, rate: float = 0.3, ridge: float = 2e-3) -> tuple[np.ndarray, float]:
-    """(weights, bias) from bags (features, counts, label): Adagrad on the mean noisy-or log-likelihood."""
-    weights, bias = np.zeros(FEATURES), -4.0
-    bags = [b for b in bags if len(b[1])]
-    if not any(b[2] for b in bags) or all(b[2] for b in bags):
-        return weights, bias
-    seen = np.bincount(np.concatenate([np.unique(f) for f, _, _ in bags]), minlength=FEATURES)
-    features, sizes = np.concatenate([f for f, _, _ in bags]), np.concatenate([c for _, c, _ in bags])
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    keep = seen[features] >= MIN_DOCS
-    used, column = np.unique(features[keep], return_inverse=True)
-    row = of[keep]
-    n_sent = np.array([len(c) for _, c, _ in bags])
+    def _weigh(self, word: str) -> float:
+        w = self.known[word] = sum(map(self.weights.get, parts_of(word) & self.weights.keys())) if len(word) < 200 else 0.0
+        return w
+
+    def __call__(self, text: str | None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        if not text:
+            return [], np.zeros(0)
+        if len(self.known) > 500_000:
+            self.known.clear()
+        known, spans, z = self.known, sentences(text), []
+        for a, b in spans:
+            total = self.bias
+            for w in _WORD.findall(text[a:b].lower()):
+                x = known.get(w)
+                total += self._weigh(w) if x is None else x
+            z.append(total)
+        return spans, _sigmoid(np.array(z, np.float64))
+
+
+def telling_parts(bags: list[list[list[str]]], labels: np.ndarray) -> list[str]:
+    """Parts whose share of toxic documents is MIN_Z standard errors above that of clean ones, strongest first."""
+    counts = (Counter(), Counter())
+    known: dict[str, set[str]] = {}
+    for bag, y in zip(bags, labels.tolist()):
+        seen: set[str] = set()
+        for w in {w for s in bag for w in s if len(w) < 200}:
+            if (got := known.get(w)) is None:
+                got = known[w] = parts_of(w)
+            seen |= got
+        counts[y].update(seen)
+    n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
+    strong = []
+    for p, k in counts[1].items():
+        both = k + counts[0].get(p, 0)
+        share = both / (n0 + n1)
+        if both >= MIN_DOCS and share < 1:
+            z = (k / n1 - (both - k) / n0) / (share * (1 - share) * (1 / n1 + 1 / n0)) ** 0.5
+            if z >= MIN_Z:
+                strong.append((-z, p))
+    return [p for _, p in sorted(strong)[:MAX_PARTS]]
+
+
+def fit(bags: list[list[list[str]]], labels: list[int], steps: int = 400, rate: float = 0.3, ridge: float = 3e-4) -> Model:
+    """Adagrad on the mean noisy-or log-likelihood, both labels weighing the same."""
+    y = np.array(labels, np.int64)
+    if not len(y) or y.min() == y.max():
+        return {}, -12.0
+    number = {p: i for i, p in enumerate(telling_parts(bags, y))}
+    known: dict[str, list[int]] = {}
+    row, column, n_sent, at = [], [], [], 0
+    for bag in bags:
+        n_sent.append(max(1, len(bag)))
+        for k, words in enumerate(bag):
+            for w in words:
+                if (got := known.get(w)) is None:
+                    got = known[w] = [number[p] for p in parts_of(w) if p in number] if len(w) < 200 else []
+                for c in got:
+                    row.append(at + k)
+                    column.append(c)
+        at += n_sent[-1]
+    row, column, n_sent = np.array(row, np.int64), np.array(column, np.int64), np.array(n_sent)
     start, doc = np.cumsum(n_sent) - n_sent, np.repeat(np.arange(len(bags)), n_sent)
-    y = np.array([l for _, _, l in bags], bool)
-    share = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())  # both labels weigh the same
-    w, g2, b2 = np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    w, bias, g2, b2 = np.zeros(len(number)), -4.0, np.full(len(number), 1e-8), 1e-8
     for _ in range(steps):
-        z = bias + np.bincount(row, w[column], len(sizes))
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+        p = _sigmoid(bias + np.bincount(row, w[column], at))
         none = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), start))  # no sentence offends
-        pull = np.where(y, none / np.maximum(1 - none, 1e-6), -1.0) * share
+        pull = np.where(y == 1, none / np.maximum(1 - none, 1e-6), -1.0) * share
         dz = pull[doc] * p
-        gw, gb = np.bincount(column, dz[row], len(used)) - ridge * w / len(used), dz.sum()
+        gw, gb = np.bincount(column, dz[row], len(w)) - ridge * w, dz.sum()
         g2, b2 = g2 + gw * gw, b2 + gb * gb
         w, bias = w + rate * gw / np.sqrt(g2), bias + rate * gb / np.sqrt(b2)
-    weights[used] = w
-    return weights, float(bias)
+    return {p: float(w[i]) for p, i in number.items()}, float(bias)
 
 
 def held_out(doc_id) -> "F.Column":
@@ -100,51 +142,37 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> Model:
     """Fits on at most fit_toxic and fit_clean labelled rows that are not held out, the first by hash of doc_id.
 
-    The sample's features, not its texts, come to the driver. Rows with a null label or doc_id are no examples.
+    Rows with a null label or doc_id are no examples.
     """
     lab = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = lab.where("toxic = 1").orderBy(*order).limit(fit_toxic).union(lab.where("toxic = 0").orderBy(*order).limit(fit_clean))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Featurizer()
-        for b in batches:
-            got = [make(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch(
-                [b.column(0).cast(pa.int64()), pa.array([f.astype("<i4").tobytes() for _, f, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, _, c in got], pa.binary()), b.column(2).cast(pa.int32())],
-                names=["doc_id", "features", "counts", "toxic"],
-            )
-
-    # The picked labels number at most fit_toxic + fit_clean, which bounds the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, features binary, counts binary, toxic int").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    return fit([(np.frombuffer(f, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(np.int64), t) for _, f, c, t in rows])
+    # The picked labels number at most fit_toxic + fit_clean, which bounds the broadcast and what comes to the driver.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: (r[0], r[1] or ""))
+    return fit([bag_of(t) for _, t, _ in rows], [y for _, _, y in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, n_sentences, worst_start, worst_end, worst_score.
 
     worst_* is the sentence that offends most (characters of the text; null without sentences). Null, empty and
     wordless texts score 0. Rows that repeat score alike; only doc_id and text are read; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    used = np.flatnonzero(model[0])
-    values, bias = model[0][used].astype(np.float64), model[1]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, make = np.zeros(FEATURES), Featurizer()
-        weights[used] = values
+        scorer = Scorer(model)
         for b in batches:
             rows = []
             for x in b.column(2):
-                spans, f, c = make(x.as_py())
+                spans, p = scorer(x.as_py())
                 if not spans:
                     rows.append((0.0, 0, None, None, None))
                     continue
-                p = sentence_scores(f, c, weights, bias)
                 k = int(p.argmax())
                 rows.append((noisy_or(p), len(spans), *spans[k], float(p[k])))
             cols = list(zip(*rows)) if rows else [()] * 5
@@ -157,21 +185,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, n_sentences long, worst_start long, worst_end long, worst_score double")
 
 
-def offending(docs: DataFrame, model: tuple[np.ndarray, float], least: float = THRESHOLD) -> DataFrame:
+def offending(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, end, score, sentence): every sentence that scores at least so much by itself."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    used = np.flatnonzero(model[0])
-    values, bias = model[0][used], model[1]
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, make = np.zeros(FEATURES), Featurizer()
-        weights[used] = values
+        scorer = Scorer(model)
         for pdf in frames:
             rows = []
             for i, t in zip(pdf["doc_id"], pdf["text"]):
-                spans, f, c = make(t)
+                spans, p = scorer(t)
                 if spans:
-                    p = sentence_scores(f, c, weights, bias)
                     rows += [(i, a, b, float(s), t[a:b].strip()) for (a, b), s in zip(spans, p) if s >= least]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "score", "sentence"])
 

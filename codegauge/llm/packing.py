@@ -126,16 +126,19 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(capacity + 1, np.int64)
-        part, last, coder = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes(), tokens.encoder(path)
+        part, coder = TaskContext.get().partitionId(), tokens.encoder(path)
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 500):
+            for at in range(0, batch.num_rows, 500):
                 rows: list[tuple] = []
-                for i, ids in enumerate(coder.ids_of(texts.slice(at, 500).to_pylist())):
-                    ids += last
-                    for j, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        rows.append((at + i, j, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), part, int(seen[n])))
-                        seen[n] += 1
+                flat, sizes = coder.ids_of(batch.column(1).slice(at, 500).to_pylist())
+                ends = np.cumsum(sizes)
+                whole = np.insert(flat, ends, end).astype("<u4")
+                raw, low = memoryview(whole.tobytes()), 0
+                for i, n in enumerate((sizes + 1).tolist()):
+                    for j, (s, k) in enumerate(cut(n, capacity)):
+                        rows.append((at + i, j, s, k, zlib.crc32(raw[4 * (low + s) : 4 * (low + s + k)]), part, int(seen[k])))
+                        seen[k] += 1
+                    low += n
                 cols = list(zip(*rows))
                 yield pa.record_batch([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:5]], pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 

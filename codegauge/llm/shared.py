@@ -2,45 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import drop_written, place, shared_folder, written  # noqa: F401
+
 #: A word: a run of bytes other than space and \t \n \v \f \r. bytes.split() cuts at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="codegauge-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/codegauge/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path := place(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables of `written` that nothing will read again."""
-    for t in tables:
-        for f in {x.rpartition("/")[0] for x in t.inputFiles()}:
-            jvm = t.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has."""
     have, out = {c.lower() for c in df.columns}, []

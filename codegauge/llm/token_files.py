@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from . import shared, tokens
 
 MAGIC, END = b"CGTB1\0\0\0", 0
-#: A block holds about so many ids: 16 MB or so, which bounds a task's memory.
-BLOCK_IDS = 6_000_000
+#: A block holds about so many ids: a few MB, which bounds a task's memory.
+BLOCK_IDS = 4_000_000
 _HEAD = struct.Struct("<8sQIIQQQ")
 #: Lengths of the four ids of each control byte.
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -56,17 +55,16 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def encode_block(part: int, number: int, doc_ids: list[int | None], ids: list[np.ndarray], by_rank: np.ndarray) -> bytes:
-    """by_rank: the id of each rank, over all ids that may occur."""
+def encode_block(part: int, number: int, doc_ids: list[int | None], sizes: np.ndarray, flat: np.ndarray, by_rank: np.ndarray) -> bytes:
+    """sizes: ids of each document, all of which are flat; by_rank: the id of each rank, over all ids that may occur."""
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     ranks = rank[flat]
     top = by_rank[: int(ranks.max()) + 1 if len(ranks) else 0].astype("<u4")
     control, data = encode_ranks(ranks)
     body = b"".join([
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(),
-        np.array([len(x) for x in ids], "<u4").tobytes(), top.tobytes(), control, data,
+        sizes.astype("<u4").tobytes(), top.tobytes(), control, data,
     ])
     return _HEAD.pack(MAGIC, _HEAD.size + len(body), len(doc_ids), len(top), part, number, len(flat)) + body
 
@@ -91,34 +89,19 @@ def decode_file(raw: bytes) -> Iterator[tuple[int, int, list[int | None], np.nda
 
 
 def id_counts(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(id, n): how often each id occurs in all whole texts. A task counts chunks and encodes each distinct one once."""
+    """(id, n): how often each id occurs in all whole texts; a task sends one row an id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(path)
-        total, chunks = np.zeros(coder.size, np.int64), Counter()
+        total = np.zeros(max(coder.size, end + 1), np.int64)
 
-        def settle() -> None:
-            got = coder.later_ids(list(chunks))
-            times = np.repeat(np.fromiter(chunks.values(), np.int64, len(chunks)), [len(x) // 4 for x in got])
-            ids = np.frombuffer(b"".join(got), "<u4")
-            if len(ids):  # sums of counts as doubles are exact far beyond a task's ids
-                total[:] += np.bincount(ids, times, coder.size).astype(np.int64)
-            chunks.clear()
+        def texts() -> Iterator[list[str | None]]:
+            for b in batches:
+                total[end] += b.num_rows
+                for at in range(0, b.num_rows, 500):
+                    yield b.column(0).slice(at, 500).to_pylist()
 
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                texts = b.column(0).slice(at, 500).to_pylist()
-                heads = []
-                for t in texts:
-                    cut = coder.pieces_of(t)
-                    heads += cut[:1]
-                    chunks.update(cut[1:])
-                total[end] += len(texts)
-                for ids in coder.first_ids(heads):
-                    np.add.at(total, np.frombuffer(ids, "<u4"), 1)
-                if len(chunks) > 300_000:
-                    settle()
-        settle()
+        coder.count_ids(texts(), total)
         i = np.flatnonzero(total)
         yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(total[i])], names=["id", "n"])
 
@@ -136,21 +119,23 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     by_rank = np.array([i for i, _ in sorted(counted, key=lambda r: (-r[1], r[0]))], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, coder, last = TaskContext.get().partitionId(), 0, tokens.encoder(path), np.array([end], "<u4")
+        part, number, coder = TaskContext.get().partitionId(), 0, tokens.encoder(path)
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 doc_ids += b.column(0).slice(at, 500).to_pylist()
-                for raw in coder.ids_of(b.column(1).slice(at, 500).to_pylist()):
-                    ids.append(np.concatenate([np.frombuffer(raw, "<u4"), last]))
-                    held += len(ids[-1])
+                flat, n = coder.ids_of(b.column(1).slice(at, 500).to_pylist())
+                ids.append(np.insert(flat, np.cumsum(n), end))
+                sizes.append(n + 1)
+                held += len(ids[-1])
                 if held >= BLOCK_IDS:
-                    yield pa.record_batch([pa.array([encode_block(part, number, doc_ids, ids, by_rank)], pa.binary())], names=["value"])
-                    doc_ids, ids, held, number = [], [], 0, number + 1
+                    yield pa.record_batch([pa.array([encode_block(part, number, doc_ids, np.concatenate(sizes), np.concatenate(ids), by_rank)], pa.binary())], names=["value"])
+                    doc_ids, ids, sizes, held, number = [], [], [], 0, number + 1
         if doc_ids:
-            yield pa.record_batch([pa.array([encode_block(part, number, doc_ids, ids, by_rank)], pa.binary())], names=["value"])
+            yield pa.record_batch([pa.array([encode_block(part, number, doc_ids, np.concatenate(sizes), np.concatenate(ids), by_rank)], pa.binary())], names=["value"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")

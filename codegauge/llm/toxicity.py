@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the classifier is fitted on: at most so many of each label, picked by hash.
-FIT_TOXIC, FIT_CLEAN = 2500, 5000
+FIT_TOXIC, FIT_CLEAN = 1500, 3000
 #: A part needs so many documents of the sample and so many standard errors; the model has at most MAX_PARTS.
 MIN_DOCS, MIN_Z, MAX_PARTS = 6, 6.0, 20_000
 THRESHOLD = 0.7
@@ -81,49 +81,52 @@ class Scorer:
         return spans, _sigmoid(np.array(z, np.float64))
 
 
-def telling_parts(bags: list[list[list[str]]], labels: np.ndarray) -> list[str]:
-    """Parts whose share of toxic documents is MIN_Z standard errors above that of clean ones, strongest first."""
-    counts = (Counter(), Counter())
-    known: dict[str, set[str]] = {}
-    for bag, y in zip(bags, labels.tolist()):
-        seen: set[str] = set()
-        for w in {w for s in bag for w in s if len(w) < 200}:
-            if (got := known.get(w)) is None:
-                got = known[w] = parts_of(w)
-            seen |= got
-        counts[y].update(seen)
-    n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
-    strong = []
-    for p, k in counts[1].items():
-        both = k + counts[0].get(p, 0)
-        share = both / (n0 + n1)
-        if both >= MIN_DOCS and share < 1:
-            z = (k / n1 - (both - k) / n0) / (share * (1 - share) * (1 / n1 + 1 / n0)) ** 0.5
+def telling_parts(toxic: list[str], clean: list[str]) -> list[str]:
+    """Parts whose share of toxic documents is MIN_Z standard errors above that of clean ones, strongest first.
+
+    Toxic documents are counted first; in clean ones only parts that enough of those have.
+    """
+    def parts(text: str) -> set[str]:
+        return {p for w in set(_WORD.findall(text.lower())) if len(w) < 200 for p in parts_of(w)}
+
+    hits: Counter[str] = Counter()
+    for text in toxic:
+        hits.update(parts(text))
+    hits = Counter({p: k for p, k in hits.items() if k >= MIN_DOCS})
+    misses: Counter[str] = Counter()
+    for text in clean:
+        misses.update(parts(text) & hits.keys())
+    n1, n0, strong = len(toxic), len(clean), []
+    for p, k in hits.items():
+        share = (k + misses[p]) / (n0 + n1)
+        if share < 1:
+            z = (k / n1 - misses[p] / n0) / (share * (1 - share) * (1 / n1 + 1 / n0)) ** 0.5
             if z >= MIN_Z:
                 strong.append((-z, p))
     return [p for _, p in sorted(strong)[:MAX_PARTS]]
 
 
-def fit(bags: list[list[list[str]]], labels: list[int], steps: int = 400, rate: float = 0.3, ridge: float = 3e-4) -> Model:
+def fit(texts: list[str | None], labels: list[int], steps: int = 400, rate: float = 0.3, ridge: float = 3e-4) -> Model:
     """Adagrad on the mean noisy-or log-likelihood, both labels weighing the same."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return {}, -12.0
-    number = {p: i for i, p in enumerate(telling_parts(bags, y))}
-    known: dict[str, list[int]] = {}
+    number = {p: i for i, p in enumerate(telling_parts(*([t or "" for t, l in zip(texts, labels) if l == k] for k in (1, 0))))}
+    known: dict[str, tuple[int, ...]] = {}
     row, column, n_sent, at = [], [], [], 0
-    for bag in bags:
+    for text in texts:
+        bag = bag_of(text)
         n_sent.append(max(1, len(bag)))
         for k, words in enumerate(bag):
             for w in words:
                 if (got := known.get(w)) is None:
-                    got = known[w] = [number[p] for p in parts_of(w) if p in number] if len(w) < 200 else []
+                    got = known[w] = tuple(number[p] for p in parts_of(w) & number.keys()) if len(w) < 200 else ()
                 for c in got:
                     row.append(at + k)
                     column.append(c)
         at += n_sent[-1]
     row, column, n_sent = np.array(row, np.int64), np.array(column, np.int64), np.array(n_sent)
-    start, doc = np.cumsum(n_sent) - n_sent, np.repeat(np.arange(len(bags)), n_sent)
+    start, doc = np.cumsum(n_sent) - n_sent, np.repeat(np.arange(len(texts)), n_sent)
     share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     w, bias, g2, b2 = np.zeros(len(number)), -4.0, np.full(len(number), 1e-8), 1e-8
     for _ in range(steps):
@@ -154,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_cl
     # The picked labels number at most fit_toxic + fit_clean, which bounds the broadcast and what comes to the driver.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
-    return fit([bag_of(t) for _, t, _ in rows], [y for _, _, y in rows])
+    return fit([t for _, t, _ in rows], [y for _, _, y in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -69,5 +69,64 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_voronoi_knn, op2_source_mix, op3_simhash_dedup, op4_quality_rules, op5_url_filter, op6_line_dedup, op7_toxicity, op8_token_files, op9_packing, op10_license_scan)}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _sql1() -> str:
+    return """with e as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)
+        select query_id, rank::int as rank, vec_id, score from (select q.vec_id as query_id, e.vec_id, list_dot_product(q.v, e.v)::bigint as score,
+        row_number() over (partition by q.vec_id order by list_dot_product(q.v, e.v) desc, e.vec_id) as rank from e q join e on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id) where rank <= 10"""
+
+
+def _sql4() -> str:
+    return f"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+        win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g from d, unnest(range(1, len(w) - 6)) as t(i) where len(w) >= 8),
+        rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from win) where c > 1),
+        cov as (select doc_id, count(distinct i + k) as n_repeat_words from rep, unnest(range(0, 8)) as u(k) group by doc_id),
+        lin as (select doc_id, count(*) as lines, count(*) - count(distinct l) as dups from (select doc_id, unnest(string_split(text, chr(10))) as l from d) where regexp_matches(l, '{_WORD}') group by doc_id),
+        s as (select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+            coalesce(dups, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, coalesce(lines, 0) as lines, len(regexp_extract_all(text, '\\p{{Lu}}')) as uppers,
+            len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as stutters from d left join cov using (doc_id) left join lin using (doc_id)),
+        b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and 10 * n_symbols <= n_words and 10 * stutters <= 3 * n_words
+            and word_chars between 2 * n_words and 15 * n_words and 10 * n_dup_lines <= 5 * lines and 2 * uppers <= word_chars as kept from b"""
+
+
+def _sql5() -> str:
+    """No page of the tables has a canonical link or a refresh, so the method's verdict is its default."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = [f"when ('.' || host) like '%.{h}' and starts_with(path, '{p}') then" for _, h, p in rules]
+    rule = " ".join(f"{f} '{h}{p}'" for f, (_, h, p) in zip(fits, rules))
+    verdict = " ".join(f"{f} '{v}'" for f, (v, _, _) in zip(fits, rules))
+    return f"""select page_id, host, path, case {rule} end as rule, case {verdict} else 'allow' end as verdict from (select page_id,
+        case when instr(url, '://') > 0 then lower(regexp_extract(rest, '^[^/?#]*')) else '' end as host, case when instr(url, '://') > 0 then regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) else '' end as path
+        from (select page_id, url, substr(url, instr(url, '://') + 3) as rest from pages))"""
+
+
+def _sql10() -> str:
+    import math
+    import re
+    from collections import Counter
+
+    weight, other = license_scan.idf()
+    rows = []
+    for i, (name, text) in enumerate(license_scan.TEMPLATES):
+        tf = Counter(re.findall(license_scan.TOKEN, text.lower()))
+        norm = math.sqrt(sum((c * weight[w]) ** 2 for w, c in tf.items()))
+        rows += [f"({i}, '{name}', '{w}', {c * weight[w] / norm!r}::double)" for w, c in sorted(tf.items())]
+    words = ", ".join(f"('{w}', {x!r}::double)" for w, x in sorted(weight.items()))
+    header = license_scan.HEADER.removeprefix("(?i)")
+    return f"""with t(template, license, word, unit) as (values {", ".join(rows)}), i(word, idf) as (values {words}),
+        seg as (select distinct doc_id, l from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) where regexp_matches(l, '(?i){header}')),
+        tf as (select doc_id, l, word, count(*) * coalesce(any_value(idf), {other!r}) as w from (select doc_id, l, unnest(regexp_extract_all(lower(l), '{license_scan.TOKEN}')) as word from seg) left join i using (word) group by 1, 2, 3),
+        nrm as (select doc_id, l, sqrt(sum(w * w)) as norm from tf group by 1, 2), dot as (select doc_id, l, template, license, sum(w * unit) as dot from tf join t using (word) group by 1, 2, 3, 4),
+        best as (select doc_id, license, dot / norm as cosine from (select *, row_number() over (partition by doc_id, l order by round(dot, 12) desc, template) as n from dot) join nrm using (doc_id, l) where n = 1),
+        own as (select doc_id, license, round(cosine, 6) as cosine from (select *, row_number() over (partition by doc_id order by round(cosine, 9) desc, license desc) as n from best where cosine >= {license_scan.THRESHOLD}) where n = 1)
+        select doc_id, license, cosine, case when license is not null then 'own' end as found from documents left join own using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the operator; the others are held against brute force by the tests."""
+    made = {"op1_voronoi_knn": _sql1, "op4_quality_rules": _sql4, "op5_url_filter": _sql5, "op10_license_scan": _sql10}
+    return {name: " ".join(f().split()) for name, f in made.items()}

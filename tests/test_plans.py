@@ -154,3 +154,14 @@ def test_registered_queries(spark):
     assert set(sql) <= set(names) and len(names) >= 50
     assert __spark_entry__.entry(spark).count() == 4
     assert Counter(type(q).__name__ for q in names.values()) == Counter({"function": len(names)})
+
+
+def test_stream(spark, tmp_path):
+    from codegauge.streaming.evaluate import evaluate_stream
+
+    tasks, refs, preds = inputs(spark, {f"{k}:1": v for k, v in HUMAN.items()})
+    preds.write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schemas.PREDICTION).json(f"{tmp_path}/in")
+    query = evaluate_stream(tasks, refs, stream, f"{tmp_path}/out", f"{tmp_path}/check")
+    query.awaitTermination(120)
+    assert {r.status for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"nontrivial"}

@@ -424,6 +424,102 @@ def scope_distribution(spark, sf):
     return sets.select(F.coalesce("mkt", F.lit("ALL")).alias("scope"), "flag", "incidence")
 
 
+# Contracts as queries: the rows that violate them
+
+
+@query("select l_orderkey || ':' || l_linenumber as k, count(*) as n from lineitem group by 1 having count(*) > 1")
+def contract_keys(spark, sf):
+    return contracts.bad_keys(t(spark, sf, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("k")), "k")
+
+
+@query("""select c_custkey, col as "column", v as value from (select c_custkey, 'c_acctbal' as col, c_acctbal as v from customer where c_acctbal <= 0 or c_acctbal is null union all select c_custkey, 'c_nationkey', c_nationkey::double from customer where c_nationkey < 0)""")
+def contract_domain(spark, sf):
+    return contracts.outside(t(spark, sf, "customer"), "c_custkey", ("c_acctbal",), ("c_nationkey",))
+
+
+@query("select o_custkey, p as author from (select distinct o_custkey from orders), (select unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) as p) where (o_custkey, p) not in (select o_custkey, o_orderpriority from orders)")
+def contract_coverage(spark, sf):
+    o = t(spark, sf, "orders")
+    return contracts.uncovered(o.select("o_custkey", F.col("o_orderpriority").alias("author")), o.select("o_custkey").distinct(), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
+
+
+@query("select distinct p_brand as rule, p_type as odc, now from part join (select p_brand, min(p_type) as now from part group by 1) using (p_brand) where p_type <> now")
+def contract_stale_map(spark, sf):
+    p = t(spark, sf, "part").select(F.col("p_brand").alias("rule"), F.col("p_type").alias("odc"))
+    return contracts.stale_mapping(p, p.groupBy("rule").agg(F.min("odc").alias("odc")))
+
+
+@query("select distinct event_type from events where event_type not in ('click', 'view')")
+def contract_categories(spark, sf):
+    return contracts.unknown_values(t(spark, sf, "events"), "event_type", ("click", "view"))
+
+
+@query("select o_orderkey, o_totalprice from orders join (select l_orderkey, sum(floor(l_quantity)) as q, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey where q <> n * 25")
+def contract_sums(spark, sf):
+    li = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.floor("l_quantity")).alias("q"), (F.count("*") * 25).alias("n"))
+    bad = contracts.broken_sums(li, "o_orderkey", "q", ("n",))
+    return t(spark, sf, "orders").join(bad, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+# More joins and summaries
+
+
+@query("select coalesce(why, 'kept') as why, count(*) as n from (select case when n_chars < 100 then 'short' when quality = 0 then 'not_strict' when row_number() over (partition by sha256(text) order by doc_id) > 1 then 'exact_duplicate' end as why from documents left join labels using (doc_id)) group by 1")
+def drop_reasons(spark, sf):
+    docs = labelled(spark, sf, "left").withColumn("sha", text.sha256(F.col("text")))
+    x = docs.join(docs.groupBy("sha").agg(F.min("doc_id").alias("first")), "sha")
+    why = gates.cascade([(F.col("n_chars") < 100, "short"), (F.col("quality") == 0, "not_strict"), (F.col("doc_id") > F.col("first"), "exact_duplicate")], "kept")
+    return x.groupBy(why.alias("why")).agg(F.count("*").alias("n"))
+
+
+@query("select p_type as cwe, p_brand as severity, count(*) as n from part group by 1, 2 order by n desc, cwe, severity limit 10")
+def security_top(spark, sf):
+    from . import report
+
+    return report.security_report(t(spark, sf, "part").select(F.col("p_partkey").alias("u"), F.col("p_type").alias("cwe"), F.col("p_brand").alias("severity")), "u")[1]
+
+
+@query("select a.event_type as f1, b.event_type as f2, count(*) as users, round(avg(a.v - b.v), 6) as delta from (select user_id, event_type, count(*) as v from events group by 1, 2) a join (select user_id, event_type, count(*) as v from events group by 1, 2) b on a.user_id = b.user_id and a.event_type < b.event_type group by 1, 2")
+def author_pairs(spark, sf):
+    per = t(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("author")).agg(F.count("*").alias("value"))
+    return joins.author_pairs(per, ["user_id"]).groupBy("f1", "f2").agg(F.count("*").alias("users"), F.round(F.avg(F.col("v1") - F.col("v2")), 6).alias("delta"))
+
+
+@query("select l_returnflag, round(avg(case when l_linestatus = 'O' then l_discount end), 6) as o, round(avg(case when l_linestatus = 'F' then l_discount end), 6) as f from lineitem group by 1")
+def pivot_means(spark, sf):
+    w = t(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.avg("l_discount"))
+    return w.select("l_returnflag", F.round("O", 6).alias("o"), F.round("F", 6).alias("f"))
+
+
+@query("select event_type as author, event_id as idx, 'U' || user_id || case when n > 1 then '_' || n else '' end || '.java' as file from (select *, row_number() over (partition by event_type, user_id order by event_id) as n from events)")
+def file_names(spark, sf):
+    ev = t(spark, sf, "events").select(F.col("event_type").alias("author"), F.col("event_id").alias("idx"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("type_name"))
+    return joins.java_files(ev)
+
+
+@query("select l_orderkey, string_agg(s, ',' order by s) as merged from (select distinct l_orderkey, unnest([l_returnflag, l_linestatus]) as s from lineitem) group by 1")
+def merged_sets(spark, sf):
+    both = F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus"))
+    return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(both), ",").alias("merged"))
+
+
+_OVER = ", ".join(f"case when n_{a} > 12 then '{a}:' || n_{a} end" for a in TYPES)
+
+
+@query(f"select user_id, array_to_string(list_filter([{_OVER}], lambda x: x is not null), ',') as counts from ({_BURDEN_SQL})")
+def nonzero_map(spark, sf):
+    over = [F.when(F.col(f"n_{a}") > 12, F.col(f"n_{a}")).otherwise(0) for a in TYPES]
+    m = text.nonzero(F.array(*[F.lit(a) for a in TYPES]), F.array(*over))
+    shown = F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return _wide(spark, sf).select("user_id", shown.alias("counts"))
+
+
+@query(r"select page_id, lower(regexp_extract(url, '^(\w+)://', 1)) as scheme, case when regexp_matches(url, '[?]') then split_part(url, '?', 2) end as query from pages")
+def url_parts(spark, sf):
+    u = F.col("url")
+    return t(spark, sf, "pages").select("page_id", F.lower(F.regexp_extract(u, r"^(\w+)://", 1)).alias("scheme"), F.when(u.contains("?"), F.get(F.split(u, r"\?"), F.lit(1))).alias("query"))
+
+
 # No SQL: resampling, hashing into folds, language models
 
 

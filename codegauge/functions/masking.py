@@ -7,6 +7,7 @@ builtins and punctuation stay. Roles come from one left-to-right pass over signi
 from __future__ import annotations
 
 import ast
+import bisect
 import builtins
 import hashlib
 import io
@@ -56,72 +57,56 @@ def without_trivia(code: str, language: str, keep_docs: bool = False) -> str:
 
 
 def _mask_python(code: str, legacy: bool) -> str:
-    """legacy keeps two habits of published data: imported names go on to the next `from`, and call arguments are parameters."""
+    """legacy keeps two habits of published data: imported names go on to the next `from`, and call arguments are parameters.
+
+    Regions are found first (imports, signatures, annotations); a name then gets the first role that claims it.
+    """
     try:
         tokens = list(tokenize.generate_tokens(io.StringIO(code).readline))
     except (SyntaxError, tokenize.TokenError):
         return code
-    trivia = scan._TRIVIA
-    solid = [i for i, t in enumerate(tokens) if t.type not in trivia]
-    before = {i: tokens[p] for p, i in zip(solid, solid[1:])}
-    after = {p: tokens[i] for p, i in zip(solid, solid[1:])}
-    expect, module, imported, kind_of_hint = None, False, False, None
-    parens, params_at = 0, None
-    out = []
-    for i, t in enumerate(tokens):
-        role, s = None, t.string
-        if t.type == tokenize.NEWLINE and not legacy:
-            module = imported = False
-        if t.type == tokenize.NUMBER:
-            role = "<NUM>"
-        elif t.type == tokenize.STRING:
-            role = "<STR>"
-        elif t.type == tokenize.OP:
-            prev = before.get(i)
-            if s == "(":
-                opens = prev is not None and prev.type == tokenize.NAME and (legacy or before.get(solid[solid.index(i) - 1]) is not None and before[solid[solid.index(i) - 1]].string == "def")
-                if params_at is None and opens:
-                    params_at = parens
-                parens += 1
-            elif s == ")":
-                parens -= 1
-                if params_at is not None and parens == params_at:
-                    params_at, kind_of_hint = None, None
-            elif s == "->":
-                kind_of_hint = "return"
-            elif s == ":":
-                kind_of_hint = "param" if params_at is not None else None
-            elif s in ",=" and kind_of_hint == "param":
-                kind_of_hint = None
-        elif t.type == tokenize.NAME:
-            if s in ("def", "class"):
-                expect = "<FUNC>" if s == "def" else "<CLASS>"
-                kind_of_hint = None
-            elif s == "from":
-                module, imported = True, False
-            elif s == "import":
-                module, imported = False, True
-            elif s in _KEEP:
-                pass
-            elif expect:
-                role, expect = expect, None
-            elif module:
-                role = "<MOD>"
-            elif imported:
-                role = "<SYM>"
-            elif kind_of_hint:
-                role = "<TYPE>"
-            elif s in ("self", "cls"):
-                role = f"<{s.upper()}>"
-            elif i in before and before[i].string == ".":
-                role = "<ATTR>"
-            elif params_at is not None:
-                role = "<PARAM>"
-            else:
-                role = "<FUNC>" if i in after and after[i].string == "(" else "<VAR>"
-        out.append(t._replace(string=role) if role else t)
+    at = [i for i, t in enumerate(tokens) if t.type not in scan._TRIVIA]
+    word, kind, line = [tokens[i].string for i in at], [tokens[i].type for i in at], []
+    ends = [i for i, t in enumerate(tokens) if t.type == tokenize.NEWLINE]
+    for i in at:
+        line.append(bisect.bisect(ends, i))
+    closes, opens = {}, []
+    for p, w in enumerate(word):
+        if kind[p] == tokenize.OP and w == "(":
+            opens.append(p)
+        elif kind[p] == tokenize.OP and w == ")" and opens:
+            closes[opens.pop()] = p
+    names = [p for p, w in enumerate(word) if kind[p] == tokenize.NAME and w not in _KEEP]
+    until = lambda p, stop: next((q for q in range(p + 1, len(word)) if stop(q)), len(word))
+    claims: dict[str, set[int]] = {r: set() for r in ("<FUNC>", "<CLASS>", "<MOD>", "<SYM>", "<TYPE>", "<SELF>", "<CLS>", "<ATTR>", "<PARAM>")}
+    covered = -1
+    for p, w in enumerate(word):
+        if w in ("def", "class"):
+            claims["<FUNC>" if w == "def" else "<CLASS>"].add(p + 1)
+        elif w == "from":
+            claims["<MOD>"].update(range(p, until(p, lambda q: word[q] == "import" or not legacy and line[q] != line[p])))
+        elif w == "import":
+            claims["<SYM>"].update(range(p, until(p, lambda q: word[q] == "from" if legacy else line[q] != line[p])))
+        elif w in ("self", "cls"):
+            claims[f"<{w.upper()}>"].add(p)
+        elif w == ".":
+            claims["<ATTR>"].add(p + 1)
+        elif w == "->":
+            claims["<TYPE>"].update(range(p, until(p, lambda q: word[q] == ":")))
+        elif p in closes and p > covered and p > 0 and kind[p - 1] == tokenize.NAME and (legacy or p > 1 and word[p - 2] == "def"):
+            covered = closes[p]
+            claims["<PARAM>"].update(range(p, covered))
+            for q in range(p, covered):
+                if word[q] == ":":
+                    claims["<TYPE>"].update(range(q, min(covered, until(q, lambda r: word[r] in (",", "=", ")")))))
+    roles = {p: "<NUM>" if kind[p] == tokenize.NUMBER else "<STR>" for p in range(len(word)) if kind[p] in (tokenize.NUMBER, tokenize.STRING)}
+    for p in names:
+        called = p + 1 < len(word) and word[p + 1] == "("
+        roles[p] = next((r for r, where in claims.items() if p in where), "<FUNC>" if called else "<VAR>")
+    for p, r in roles.items():
+        tokens[at[p]] = tokens[at[p]]._replace(string=r)
     try:
-        return tokenize.untokenize(out)
+        return tokenize.untokenize(tokens)
     except ValueError:
         return code
 

@@ -92,37 +92,31 @@ def halstead_counts(code: str, language: str) -> tuple[int, int, int, int]:
 def nesting_depth(code: str, language: str) -> int:
     """deepest control structure. In C and Java by braces that a control word opened; in Python by indents under a control header."""
     if language != "python":
-        depth = deepest = parens = 0
-        control, stack = False, []
-        for t in re.findall(r"[A-Za-z_]\w*|[(){};]", _flatten(code, language)):
-            if t in CONTROL[language]:
-                control = True
-            elif t == "{":
-                stack.append(control)
-                depth += control
-                deepest, control = max(deepest, depth), False
-            elif t == "}" and stack:
-                depth -= stack.pop()
-            elif t in "()":
-                parens = max(0, parens + (1 if t == "(" else -1))
-            elif t == ";" and not parens:
-                control = False
-        return deepest
+        flat, depth, opened = _flatten(code, language), [0], []
+        while (bare := re.sub(r"\([^()]*\)", " ", flat)) != flat:  # what stands in parentheses ends no statement
+            flat = bare
+        for before, brace in re.findall(r"([^{}]*)([{}])", flat):
+            if brace == "{":
+                opened.append(bool(CONTROL[language].intersection(re.findall(r"\w+", before.rpartition(";")[2]))))
+                depth.append(sum(opened))
+            elif opened:
+                opened.pop()
+        return max(depth)
     depth = deepest = 0
-    header = opened = False
+    header, ended, last = set(), False, ""
     try:
         for t in tokenize.generate_tokens(io.StringIO(code).readline):
-            if t.type == tokenize.NAME and t.string in CONTROL["python"]:
-                header = True
-            elif header and t.type == tokenize.OP and t.string == ":":
-                opened = True
-            elif t.type == tokenize.INDENT:
-                depth += opened
-                deepest, header, opened = max(deepest, depth), False, False
+            if t.type == tokenize.INDENT:
+                depth += last == ":" and not CONTROL["python"].isdisjoint(header)
+                deepest = max(deepest, depth)
             elif t.type == tokenize.DEDENT:
-                depth = max(0, depth - 1)
-            elif opened and t.type not in (tokenize.NEWLINE, tokenize.NL):
-                header = opened = False
+                depth = max(0, depth - 1)  # whatever the indent stood under
+            elif t.type == tokenize.NEWLINE:
+                ended = True
+            elif t.type not in _TRIVIA:
+                header = set() if ended else header
+                header.add(t.string)
+                ended, last = False, t.string
     except (SyntaxError, tokenize.TokenError):
         return 0
     return deepest
@@ -249,17 +243,14 @@ def _python_arity(x: ast.FunctionDef | ast.AsyncFunctionDef) -> int:
 
 def _python_body(x, code: str) -> tuple[bool, bool]:
     """(stub, constant only) of a Python function."""
-    if len(x.body) == 1:
-        only = x.body[0]
-        if isinstance(only, ast.Pass):
+    match x.body:
+        case [ast.Pass()]:
             return True, False
-        if isinstance(only, ast.Expr) and isinstance(only.value, ast.Constant):
-            v = only.value.value
-            if v is Ellipsis or isinstance(v, str) and _STUB.search(v):
-                return True, False
-        if isinstance(only, ast.Raise) and _UNIMPLEMENTED.search(ast.unparse(only)):
+        case [ast.Expr(value=ast.Constant(value=v))] if v is ... or isinstance(v, str) and _STUB.search(v):
             return True, False
-        if isinstance(only, ast.Return) and (only.value is None or isinstance(only.value, ast.Constant)):
+        case [ast.Raise() as error] if _UNIMPLEMENTED.search(ast.unparse(error)):
+            return True, False
+        case [ast.Return(value=None | ast.Constant())]:
             return False, True
     return len(x.body) <= 2 and bool(_STUB.search(ast.get_source_segment(code, x) or "")), False
 

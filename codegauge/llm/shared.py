@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def id_text(c: Column) -> Column:
     return c.cast("string")
 
 
+def release_memory() -> None:
+    """Called at the end of a Python task: workers are kept for later tasks, and should not keep this one's memory."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def _stars(e: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (u > v)."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -31,7 +31,7 @@ from . import shared, tokens
 
 MAGIC, END = b"CGTB1\0\0\0", 0
 #: A block holds about so many ids: a few MB, which bounds a task's memory.
-BLOCK_IDS = 4_000_000
+BLOCK_IDS = 2_000_000
 _HEAD = struct.Struct("<8sQIIQQQ")
 #: Lengths of the four ids of each control byte.
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)

@@ -13,6 +13,8 @@ import os
 
 import numpy as np
 
+from .shared import release_memory
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Longer chunks are encoded each time; shorter ones are known by two 64-bit multilinear hashes.
@@ -44,7 +46,7 @@ def _starts(raw: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """ids of texts; remembers up to `keep` distinct chunks in flat arrays (some 60 bytes each)."""
 
-    def __init__(self, path: str, keep: int = 2_600_000):
+    def __init__(self, path: str, keep: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.keep = keep
@@ -68,6 +70,11 @@ class ChunkEncoder:
         self.pool, self.pooled = np.zeros(1 << 16, np.uint32), 0
         self.table = np.full(1 << self.bits, -1, np.int32)
 
+    def forget(self) -> None:
+        """Drops all chunks; a task that ends a job's use of the encoder calls it."""
+        self._clear()
+        release_memory()
+
     def _place(self, a: np.ndarray) -> np.ndarray:
         return ((a * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 

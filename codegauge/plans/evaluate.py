@@ -40,37 +40,32 @@ def function_aggregate(functions: Column) -> list[Column]:
     return out
 
 
-def evaluate(tasks: DataFrame, references: DataFrame, predictions: DataFrame, defects: DataFrame | None = None, vulnerabilities: DataFrame | None = None) -> DataFrame:
-    """One result row for each task.
-
-    defects (task_id, rule, odc, line) and vulnerabilities (task_id, cwes, severity, lines) are analyzer findings;
-    without them outcomes are null, `cwes` is empty and the analysis status is skipped. One pass of Python reads the code; joins
-    on task_id, gates and statuses are the planner's.
-    """
-    validate(tasks, predictions)
-    base = joins.matched(joins.with_predictions(tasks, predictions), references, ["task_id"], "tasks and references differ")
+def with_structure(base: DataFrame) -> DataFrame:
+    """Base (task_id, language, code, signature, human_metrics) with facts, functions and the flags that follow from them."""
     facts = scan.with_facts(base.select("task_id", "language", "code", F.col("signature.name").alias("name"), F.col("signature.arity").alias("arity")))
     x = base.join(facts, "task_id")
     f = lambda n: F.col(f"facts.{n}")
     h = lambda n: F.col(f"human_metrics.{n}")
-    empty, failed = f("empty"), f("failure").isNotNull()
-    known = ~empty & ~failed
-    token_ratio = F.when(empty, 0.0).when(known, gates.ratio(f("token_count"), h("token_count")))
-    ast_ratio = F.when(empty, 0.0).when(known, gates.ratio(f("ast_node_count"), h("ast_node_count")))
-    x = x.withColumn("target_token_ratio", token_ratio).withColumn("target_ast_ratio", ast_ratio)
+    empty, known = f("empty"), ~f("empty") & f("failure").isNull()
+    share = lambda n: F.when(empty, 0.0).when(known, gates.ratio(f(n), h(n)))
+    x = x.withColumn("target_token_ratio", share("token_count")).withColumn("target_ast_ratio", share("ast_node_count"))
     x = x.withColumn("undersized", empty | known & gates.undersized(f("statement_count"), F.col("target_token_ratio"), F.col("target_ast_ratio")))
     x = x.withColumn("explicit_stub", empty | known & f("stub"))
     x = x.withColumn("nonstub", known & f("parseable") & f("target_present") & f("arity_ok") & ~F.col("explicit_stub"))
-    x = x.withColumn("structural_strict_nontrivial", F.col("nonstub") & ~f("constant") & ~F.col("undersized"))
+    return x.withColumn("structural_strict_nontrivial", F.col("nonstub") & ~f("constant") & ~F.col("undersized"))
+
+
+def judged(x: DataFrame) -> DataFrame:
+    """The result columns of rows with structure and a complexity struct (nloc_mean, halstead_volume_mean, ...)."""
+    f = lambda n: F.col(f"facts.{n}")
+    empty, known = f("empty"), ~f("empty") & f("failure").isNull()
     shape = gates.status(f("parseable") & known, f("target_present"), f("arity_ok"), F.col("explicit_stub"), f("constant"), F.col("undersized"))
-    complexity = F.struct(*function_aggregate(F.col("functions")))
-    x = x.withColumn("complexity", complexity)
     r1, r2, ok = gates.complexity_gate(F.col("complexity.nloc_mean"), F.col("complexity.halstead_volume_mean"), F.col("human_complexity.nloc"), F.col("human_complexity.halstead_v"))
     x = x.withColumn("complexity_nloc_ratio", r1).withColumn("complexity_halstead_volume_ratio", r2).withColumn("complexity_non_degenerate", ok)
     strict = F.col("structural_strict_nontrivial")
     status = F.when(empty, "empty").when(strict & ~F.col("complexity_non_degenerate"), "complexity_degenerate").otherwise(shape)
     diagnostics = F.filter(F.array(F.when(empty, "empty output"), f("failure"), F.when(known & ~f("parseable"), "brackets do not match")), lambda d: d.isNotNull())
-    out = x.select(
+    return x.select(
         F.lit(VERSION).alias("benchmark_version"), "task_id", "language", "stratum", "submitted",
         (f("parseable") & known).alias("parseable"), f("target_present").alias("target_present"), f("arity_ok").alias("target_matches_arity"), "explicit_stub",
         f("constant").alias("constant_noop_only"), "undersized", "nonstub", (strict & F.col("complexity_non_degenerate")).alias("strict_nontrivial"), status.alias("status"),
@@ -78,6 +73,19 @@ def evaluate(tasks: DataFrame, references: DataFrame, predictions: DataFrame, de
         diagnostics.alias("diagnostics"), "structural_strict_nontrivial", "complexity_nloc_ratio", "complexity_halstead_volume_ratio", "complexity_non_degenerate", "complexity",
         text.lexical_set(F.col("code")).alias("lexical_tokens"),
     )
+
+
+def evaluate(tasks: DataFrame, references: DataFrame, predictions: DataFrame, defects: DataFrame | None = None, vulnerabilities: DataFrame | None = None) -> DataFrame:
+    """One result row for each task.
+
+    defects (task_id, rule, odc, line) and vulnerabilities (task_id, cwes, severity, lines) are analyzer findings;
+    without them outcomes are null, `cwes` is empty and the analysis status is skipped. One pass of Python reads the code; joins
+    on task_id, gates and statuses are the planner's.
+    """
+    validate(tasks, predictions)
+    base = joins.matched(joins.with_predictions(tasks, predictions), references, ["task_id"], "tasks and references differ")
+    x = with_structure(base)
+    out = judged(x.withColumn("complexity", F.struct(*function_aggregate(F.col("functions")))))
     if defects is None or vulnerabilities is None:
         nulls = [F.lit(None).cast("long").alias(c) for c in schemas.OUTCOMES]
         return out.select("*", *nulls, F.array().cast("array<string>").alias("cwes"), F.lit("skipped").alias("static_analysis_status"))
@@ -99,7 +107,7 @@ def summarize(results: DataFrame) -> DataFrame:
         *[gates.incidence(F.col(c), scanned).alias(f"{c}_incidence") for c in schemas.OUTCOMES],
         *[F.when(F.count(scanned) == F.count(F.lit(1)), gates.rate(clean(c))).alias(n) for c, n in (("nonstub", "clean_nonstub_at_1"), ("strict_nontrivial", "clean_strict_at_1"))],
         *means,
-        F.try_divide(F.sum(F.aggregate(lengths, F.lit(0), lambda a, x: a + x)), F.sum(F.size(lengths).cast("long") * strict.cast("long"))).alias("function_name_length_mean"),
+        F.try_divide(F.sum(F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))), F.sum(F.size(lengths).cast("long") * strict.cast("long"))).alias("function_name_length_mean"),
         F.avg(F.when(strict, F.col("token_count"))).alias("target_token_count_mean"),
     )
     distinct = results.select("language", F.explode("lexical_tokens").alias("t")).distinct().groupBy("language").agg(F.count("*").alias("distinct_tokens"))

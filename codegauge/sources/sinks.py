@@ -26,7 +26,7 @@ def _finite(df: DataFrame) -> DataFrame:
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> int:
     """A folder of JSON lines; an existing one is refused unless overwrite. Returns the rows written."""
     seen = Observation()
-    _finite(df).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    _finite(df).observe(seen, F.count(F.lit(1)).alias("rows")).write.option("ignoreNullFields", False).mode("overwrite" if overwrite else "errorifexists").json(path)
     return seen.get["rows"]
 
 

@@ -165,3 +165,34 @@ def test_stream(spark, tmp_path):
     query = evaluate_stream(tasks, refs, stream, f"{tmp_path}/out", f"{tmp_path}/check")
     query.awaitTermination(120)
     assert {r.status for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"nontrivial"}
+
+
+def test_historical_results(spark):
+    from codegauge.plans import historical
+
+    tasks, refs, preds = inputs(spark, {f"{k}:1": v for k, v in HUMAN.items()})
+    m = metrics(spark, {"1": {a: (10, 2, 1) for a in schemas.AUTHORS["java"]}})
+    table = m.withColumn("language", F.lit("java")).union(m.withColumn("language", F.lit("python")))
+    got = {r.task_id: r for r in historical.results(tasks, refs, preds, table, "openai").collect()}
+    assert {r.static_analysis_status for r in got.values()} == {"precomputed_frozen_study_results"}
+    assert got["java:1"].defects_total == 2 and got["java:1"].complexity.nloc_mean == 10.0 and got["java:1"].strict_nontrivial and got["java:1"].cwes == []
+    with pytest.raises(contracts.ContractError):
+        historical.results(tasks, refs, preds, m.withColumn("language", F.lit("java")), "openai")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from codegauge import cli
+
+    tasks, refs, preds = inputs(spark, {f"{k}:1": v for k, v in HUMAN.items()})
+    for name, df in (("tasks", tasks), ("refs", refs), ("preds", preds)):
+        df.write.json(f"{tmp_path}/{name}")
+    run = lambda *a: cli.main([*a], spark)
+    given = ["--tasks", f"{tmp_path}/tasks", "--predictions", f"{tmp_path}/preds"]
+    run("validate-submission", *given)
+    run("evaluate", *given, "--references", f"{tmp_path}/refs", "--output", f"{tmp_path}/out")
+    run("subset-results", "--tasks", f"{tmp_path}/tasks", "--results", f"{tmp_path}/out", "--output", f"{tmp_path}/sub")
+    run("compare", "--submission", f"{tmp_path}/out", "--baseline", f"{tmp_path}/sub", "--output", f"{tmp_path}/cmp")
+    run("report", "--results", f"{tmp_path}/out", "--output-dir", f"{tmp_path}/rep", "--model-name", "m")
+    assert "| java | 1 | 100.0% |" in capsys.readouterr().out
+    rows = spark.read.csv(f"{tmp_path}/cmp", header=True).collect()
+    assert len(rows) == 10 and {r.delta for r in rows} == {"0.0"}

@@ -114,7 +114,7 @@ def has_orphan_methods(code: Column) -> Column:
     return code.rlike(r"(?m)^\s*" + modifiers + head + throws)
 
 
-def wrap_java(code: Column, name: str = "CQBenchSubmission") -> Column:
+def wrap_java(code: Column, name: str = "Submission") -> Column:
     """F16: code with orphan methods or no public class goes into a class; package and imports stay in front."""
     body = java_body(code)
     package = F.trim(F.regexp_extract(code, _PACKAGE, 0))

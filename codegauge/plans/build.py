@@ -74,7 +74,7 @@ def tasks(dataset: DataFrame, chosen: DataFrame, language: str) -> tuple[DataFra
     x = x.withColumn("copy", F.when(F.col("why").isNull(), windows.occurrence(["sha", "why"], ["ordinal"])))
     x = x.withColumn("why", F.when(F.col("copy") > 1, "exact_duplicate").otherwise(F.col("why")))
     kept = x.where("why is null").select(
-        F.lit("cqbench-v1").alias("benchmark_version"), text.task_id(F.lit(language), F.col("hm_index")).alias("task_id"), F.lit(language).alias("language"), F.col("hm_index").alias("source_id"),
+        F.lit(schemas.BENCHMARK_VERSION).alias("benchmark_version"), text.task_id(F.lit(language), F.col("hm_index")).alias("task_id"), F.lit(language).alias("language"), F.col("hm_index").alias("source_id"),
         "stratum", "docstring", "signature", text.prompt(F.lit(language), F.col("docstring"), F.col("signature.text")).alias("prompt"), "difficulty", "consensus_cwes", "human_metrics", F.col("sha").alias("content_sha256"),
     )
     return kept, x.where("why is not null").groupBy("why").agg(F.count("*").alias("n"))

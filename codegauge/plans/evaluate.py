@@ -9,7 +9,7 @@ from .. import schemas
 from ..functions import scan, text
 from ..operators import contracts, findings, gates, joins
 
-VERSION = "cqbench-v1"
+
 
 
 def validate(tasks: DataFrame, predictions: DataFrame) -> None:
@@ -66,7 +66,7 @@ def judged(x: DataFrame) -> DataFrame:
     status = F.when(empty, "empty").when(strict & ~F.col("complexity_non_degenerate"), "complexity_degenerate").otherwise(shape)
     diagnostics = F.filter(F.array(F.when(empty, "empty output"), f("failure"), F.when(known & ~f("parseable"), "brackets do not match")), lambda d: d.isNotNull())
     return x.select(
-        F.lit(VERSION).alias("benchmark_version"), "task_id", "language", "stratum", "submitted",
+        F.lit(schemas.BENCHMARK_VERSION).alias("benchmark_version"), "task_id", "language", "stratum", "submitted",
         (f("parseable") & known).alias("parseable"), f("target_present").alias("target_present"), f("arity_ok").alias("target_matches_arity"), "explicit_stub",
         f("constant").alias("constant_noop_only"), "undersized", "nonstub", (strict & F.col("complexity_non_degenerate")).alias("strict_nontrivial"), status.alias("status"),
         f("token_count").alias("token_count"), f("ast_node_count").alias("ast_node_count"), f("statement_count").alias("statement_count"), "target_token_ratio", "target_ast_ratio",

@@ -44,7 +44,7 @@ def test_generic_stub(spark, body, want):
 def test_java_wrapping(spark):
     bare = "package a.b;\nimport java.util.List;\n  public static int f(int x) {\n    return x;\n  }\n"
     out = one(spark, text.wrap_java(F.col("c")), c=bare)
-    assert out == "package a.b;\n\nimport java.util.List;\n\npublic class CQBenchSubmission {\n    public static int f(int x) {\n        return x;\n      }\n}\n"
+    assert out == "package a.b;\n\nimport java.util.List;\n\npublic class Submission {\n    public static int f(int x) {\n        return x;\n      }\n}\n"
     whole = "public class A {\n}\n"
     assert one(spark, text.wrap_java(F.col("c")), c=whole) == whole
     assert one(spark, text.java_type_name(F.col("c")), c=whole) == "A"

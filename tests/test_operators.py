@@ -47,7 +47,7 @@ def test_findings(spark):
     failed = keys.where("task_id = 'u'")
     assert {r.task_id: r.vulns_total for r in findings.vulnerability_counts(keys, sast, ["task_id"], failed).collect()}["u"] == 0
     names = spark.createDataFrame([("readability-x",), ("cert-a, misc-include-cleaner",), ("cert-a",), ("clang-analyzer-unix.API",)], "s string")
-    assert [r[0] for r in names.where(~findings.excluded(F.col("s"), schemas.clang_excluded(), schemas.CLANG_EXCLUDED_PREFIXES)).collect()] == ["cert-a"]
+    assert [r[0] for r in names.where(~findings.excluded(F.col("s"), schemas.CLANG_EXCLUDED, schemas.CLANG_EXCLUDED_PREFIXES)).collect()] == ["cert-a"]
 
 
 def test_joins(spark):

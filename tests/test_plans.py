@@ -19,7 +19,7 @@ def inputs(spark, codes):
         text, name, arity = scan.signature_of(code, language)
         f = scan.structure_facts(code, language, name, arity)
         fn = scan.functions_of(code, language)[0]
-        tasks.append(("cqbench-v1", f"{language}:1", language, "1", "clean_control", "doc", (text, name, arity), "p"))
+        tasks.append((schemas.BENCHMARK_VERSION, f"{language}:1", language, "1", "clean_control", "doc", (text, name, arity), "p"))
         human = (True, True, True, False, False, False, True, True, "nontrivial", f["token_count"], f["ast_node_count"], f["statement_count"], 1.0, 1.0, [])
         refs.append((f"{language}:1", human, (fn["nloc"], fn["halstead_volume"]), "sha"))
     return spark.createDataFrame(tasks, schemas.TASK), spark.createDataFrame(refs, schemas.REFERENCE), spark.createDataFrame(list(codes.items()), schemas.PREDICTION)

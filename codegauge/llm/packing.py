@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                 yield pa.record_batch([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:5]], pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
         coder.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return shared.small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -156,7 +156,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stats: tuple[str, .
     the base. Whole texts are read, however long. Rows that repeat are judged alike; only doc_id (null allowed) and
     text are read, so extra columns do no harm; an empty table gives no rows.
     """
-    ordered = order_rules(docs, rules, sample)
+    ordered = order_rules(shared.small_batches(docs), rules, sample)
     base = [r for r in rules if r.base]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stats: tuple[str, .
 
 def kept_rows(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE_DOCS) -> DataFrame:
     """docs without the rejected rows, all columns as they were; only text goes to Python."""
-    ordered = order_rules(docs, rules, sample)
+    ordered = order_rules(shared.small_batches(docs), rules, sample)
 
     def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:

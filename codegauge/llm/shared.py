@@ -28,6 +28,18 @@ def id_text(c: Column) -> Column:
     return c.cast("string")
 
 
+#: Rows of a batch that goes to Python and back. Texts are long: Spark's own 10,000 hold tens of MB several times over in each task.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Sets the session's batches to BATCH_ROWS at most; returns df."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def release_memory() -> None:
     """Called at the end of a Python task: workers are kept for later tasks, and should not keep this one's memory."""
     libc = ctypes.CDLL(None)

@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
         shared.release_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return shared.small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _segment(fp: Column, low: int, width: int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -26,41 +26,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """[run, band] keys of each run of 64-bit hashes (they start at `first`, none is empty)."""
+def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """([run, band] keys, sketch) of each run of 64-bit hashes (they start at `first`, none is empty).
+
+    The sketch has a bit of each of the first 64 least hashes: sets of similarity s differ in (1 - s) / 2 of them.
+    """
     times, plus = factors(bands * rows)
-    out = np.zeros((len(first), bands), np.uint64)
+    out, sketch = np.zeros((len(first), bands), np.uint64), np.zeros(len(first), np.uint64)
     for band in range(bands):
         key = np.full(len(first), band + 1, np.uint64)
         for k in range(band * rows, (band + 1) * rows):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed(hashes * times[k] + plus[k]), first))
+            least = mixed(np.minimum.reduceat(hashes * times[k] + plus[k], first))
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            if k < 64:
+                sketch |= (least & np.uint64(1)) << np.uint64(k)
         out[:, band] = key
-    return out.view(np.int64)
+    return out.view(np.int64), sketch.view(np.int64)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(h, k) to (k, h, lead) of the keys of several items; lead is the least of them."""
-    lead = keys.groupBy("k").agg(F.min("h").alias("lead"), F.max("h").alias("last")).where("lead <> last").drop("last")
-    return shared.written(keys.join(lead, "k"), "keys-shared")
+    """(k, h, ...) to (k, h, ..., lead) of the keys of several items, each once; lead is the least of them, with what it carries."""
+    keys = keys.repartition("k")  # one exchange serves both sides
+    item = F.struct(*[c for c in keys.columns if c != "k"])
+    lead = keys.groupBy("k").agg(F.min(item).alias("lead"), F.max("h").alias("last")).where("lead.h <> last").drop("last")
+    return shared.written(keys.join(lead, "k").distinct(), "keys-shared")
 
 
-def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column] = lambda a, b: F.lit(True)) -> DataFrame:
     """(h, component) of the items that are linked with another; `verified` keeps the similar ones of pairs (a, b).
 
     Each key's least item is held against its others; then what shares a key and is apart, by the least items of each
-    component, and at last item by item. No candidate between different components is left out.
+    component, and at last item by item. No candidate between different components is left out but those that `likely`, given
+    the names of two structs of what keys carry, tells apart beforehand.
     """
-    tried = shared.written(keys.where("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct(), "pairs-tried")
+    item = F.struct(*[c for c in keys.columns if c not in ("k", "lead")])
+    tried = keys.where("h <> lead.h").select(F.col("lead").alias("a"), item.alias("b")).where(likely("a", "b"))
+    tried = shared.written(tried.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "pairs-tried")
     links = verified(tried)
     for by_cell in (True, False):
         comps = shared.written(shared.components(links), "link-groups")
-        at = shared.written(keys.join(comps.withColumnRenamed("node", "h"), "h", "left").select("k", "h", F.coalesce("component", "h").alias("c")), "keys-placed")
+        at = keys.select("k", item.alias("i")).join(comps, F.col("i.h") == F.col("node"), "left").select("k", F.coalesce("component", "i.h").alias("c"), "i")
+        at = shared.written(at, "keys-placed")
         apart = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
         cells = at.join(apart, "k", "left_semi")
-        cells = cells.groupBy("k", "c").agg(F.min("h").alias("h")) if by_cell else cells
-        cells = shared.written(cells.select("k", "c", "h"), "keys-apart")
-        pairs = cells.toDF("k", "ca", "a").join(cells.toDF("k", "cb", "b"), "k").where("ca < cb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        cells = cells.groupBy("k", "c").agg(F.min("i").alias("i")) if by_cell else cells
+        pairs = cells.select("k", F.col("c").alias("ca"), F.col("i").alias("a")).join(cells.select("k", F.col("c").alias("cb"), F.col("i").alias("b")), "k").where("ca < cb").where(likely("a", "b"))
+        pairs = pairs.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = shared.written(pairs, "pairs-apart")
         links, tried = links.union(verified(pairs)), tried.union(pairs)
     return shared.components(links).withColumnRenamed("node", "h")

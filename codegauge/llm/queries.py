@@ -41,7 +41,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = line_dedup.without_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")))
+    kept = line_dedup.without_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")), whole=True)
     return kept.select("doc_id", "text", "n_lines", (F.col("n_lines") - F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))).alias("n_removed"))
 
 

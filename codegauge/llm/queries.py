@@ -61,7 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    got = license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
+    got = license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"), whole_lines=True)  # as its SQL has them
     return got.select(F.col("file_id").alias("doc_id"), "license", F.round("cosine", 6).alias("cosine"), F.col("source").alias("found"))
 
 

@@ -56,14 +56,14 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def needed_cells(queries: np.ndarray, pivots: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
-    """[query, cell] True where the cell may hold one of the query's k best. A query may be in the count itself, so k + 1 are asked for."""
+def needed_cells(queries: np.ndarray, pivots: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int, own: int = 1) -> np.ndarray:
+    """[query, cell] True where the cell may hold one of the query's k best. Up to `own` rows of the query may be in the count, so k + own are asked for."""
     norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))[:, None]
     mid = queries.astype(np.float64) @ pivots.T
     slack = norm * radius * (1 + 1e-9) + 1e-6 * (1 + np.abs(mid))
     low, high = mid - slack, mid + slack
     order = np.argsort(-low, axis=1)
-    held = np.cumsum(count[order], axis=1) >= k + 1
+    held = np.cumsum(count[order], axis=1) >= k + own
     at = np.where(held.any(axis=1), held.argmax(axis=1), low.shape[1] - 1)
     bound = np.take_along_axis(np.take_along_axis(low, order, axis=1), at[:, None], axis=1)
     bound[~held.any(axis=1)] = -np.inf
@@ -116,6 +116,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
         first[c], cuts[c] = base, max(1, -(-int(asked[c]) // group))
         base, run = base + cuts[c] - 1, run + asked[c] if cuts[c] == 1 else group
     slices = -(-n // slice_rows)
+    repeats = dealt.groupBy("vec_id").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked")).where("asked > 0")
+    own = repeats.agg(F.max("n")).first()[0] or 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,7 +125,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
                 part = b.slice(at, 1024)
                 q = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64).reshape(-1, dim)
                 cell, h = (part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-                need = needed_cells(q, centre, radius, count, k)
+                need = needed_cells(q, centre, radius, count, k, own)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(first[cell] + h % cuts[cell]), pa.array([np.flatnonzero(r).astype(np.int32) for r in need], pa.list_(pa.int32()))], names=["query_id", "x", "g", "cells"])
 
     asks = dealt.where("asks").groupBy("vec_id").agg(F.min(F.struct("x", "cell")).alias("q")).select("vec_id", "q.x", "q.cell", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("h"))

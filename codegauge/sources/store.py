@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset: a temporary one in local mode, else an error."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="codegauge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -21,10 +28,29 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/codegauge/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's settings (dots as __) for the executions that begin here; afterwards they are as before."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
+    """The rows as a table in the shared folder: cuts lineage, survives lost executors, and is computed once.
+
+    The execution removes its shuffle files at its end: what is read later is the table. Rows that go to Python go
+    in batches of BATCH_BYTES, however long they are.
+    """
     spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path := place(spark, name))
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
+        df.write.option("compression", "zstd").parquet(path := place(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,15 +6,19 @@ with probability 1 - (1 - s ** rows) ** bands. Candidates are then verified, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
 
+SYMBOLS = 24
+
+
 def factors(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
     return rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, n, np.uint64)
@@ -26,52 +30,110 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int, scale: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """([run, band] keys, sketch) of each run of 64-bit hashes (they start at `first`, none is empty).
 
-    The sketch has a bit of each of the first 64 least hashes: sets of similarity s differ in (1 - s) / 2 of them.
+    scale: what each hash is multiplied with before the least is taken, 1 to 4,095; one of scale 64 is taken about 64
+    times as seldom as one of scale 1. The sketch has two bits of each of the first SYMBOLS least hashes: sets of similarity s
+    differ in about three quarters of (1 - s) of them. Keys of different seeds are never equal but by chance.
     """
     times, plus = factors(bands * rows)
     out, sketch = np.zeros((len(first), bands), np.uint64), np.zeros(len(first), np.uint64)
     for band in range(bands):
-        key = np.full(len(first), band + 1, np.uint64)
+        key = np.full(len(first), band + 1 + (seed << 32), np.uint64)
         for k in range(band * rows, (band + 1) * rows):
-            least = mixed(np.minimum.reduceat(hashes * times[k] + plus[k], first))
+            value = hashes * times[k] + plus[k]
+            least = mixed(np.minimum.reduceat(value if scale is None else (value >> np.uint64(12)) * scale, first))
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
-            if k < 64:
-                sketch |= (least & np.uint64(1)) << np.uint64(k)
+            if k < SYMBOLS:
+                sketch |= (least & np.uint64(3)) << np.uint64(2 * k)
         out[:, band] = key
-    return out.view(np.int64), sketch.view(np.int64)
+    return out.view(np.int64), sketch
+
+
+def sketches_differ(a: Column, b: Column) -> Column:
+    """In how many of the SYMBOLS two sketches differ (bits above them are left out)."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit((1 << 2 * SYMBOLS) // 3)))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by (k, h): the rows of keys that several items share, and the first item of its first and last key."""
+    names = ["k", "h", "x", "lead_h", "lead_x", "edge"]
+    head = last = held = None  # (k, h, x) of the partition's first row, of the last key's first row, and that row while it is alone
+    last_h = 0
+    for b in batches:
+        k, h, x = (b.column(n).to_numpy() for n in range(3))
+        new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]))[: len(k)]
+        if len(k) and last and (k[0], h[0]) == (last[0], last_h):
+            new[0] = False
+        k, h, x = k[new], h[new], x[new]
+        if not len(k):
+            continue
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        size = np.diff(first, append=len(k))
+        lead_h, lead_x, many = np.repeat(h[first], size), np.repeat(x[first], size), np.repeat(size > 1, size)
+        row = lambda i: (int(k[i]), int(h[i]), int(x[i]))
+        head = head or row(0)
+        on = bool(last) and k[0] == last[0]
+        if on:
+            lead_h[: size[0]], lead_x[: size[0]], many[: size[0]] = last[1], last[2], True
+            if held:
+                yield pa.record_batch([pa.array([v], pa.int64()) for v in (*held, *held[1:])] + [pa.array([False])], names=names)
+        held = row(-1) if size[-1] == 1 and not (on and len(first) == 1) else None
+        last = last if on and len(first) == 1 else row(int(first[-1]))
+        last_h = int(h[-1])
+        yield pa.record_batch([pa.array(v[many]) for v in (k, h, x, lead_h, lead_x)] + [pa.array(np.zeros(int(many.sum()), bool))], names=names)
+    for e in (head, last):
+        if e:
+            yield pa.record_batch([pa.array([v], pa.int64()) for v in (*e, *e[1:])] + [pa.array([True])], names=names)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(k, h, ...) to (k, h, ..., lead) of the keys of several items, each once; lead is the least of them, with what it carries."""
-    keys = keys.repartition("k")  # one exchange serves both sides
-    item = F.struct(*[c for c in keys.columns if c != "k"])
-    lead = keys.groupBy("k").agg(F.min(item).alias("lead"), F.max("h").alias("last")).where("lead.h <> last").drop("last")
-    return shared.written(keys.join(lead, "k").distinct(), "keys-shared")
+    """(k, h, x) to (k, h, x, lead_h, lead_x) of the keys that several items h share, each once; the lead is the least of them.
+
+    One exchange by ranges of (k, h), so that a key of any number of items is dealt over tasks. In each part of such a key
+    the lead is the part's least item, and the parts' leads are led by the least of all.
+    """
+    rows = keys.select("k", "h", "x").repartitionByRange("k", "h").sortWithinPartitions("k", "h")
+    rows = shared.written(rows.mapInArrow(_runs, "k long, h long, x long, lead_h long, lead_x long, edge boolean"), "keys-shared")
+    ends = rows.where("edge").select("k", "h", "x").distinct()
+    cut = ends.groupBy("k").agg(F.min(F.struct("h", "x")).alias("lead"), F.max("h").alias("most")).where("lead.h <> most")
+    cut = ends.join(cut, "k").select("k", "h", "x", F.col("lead.h").alias("lead_h"), F.col("lead.x").alias("lead_x"))
+    return rows.where("not edge").drop("edge").union(cut)
 
 
-def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[str, str], Column] = lambda a, b: F.lit(True)) -> DataFrame:
+def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[Column, Column], Column] = lambda a, b: F.lit(True)) -> DataFrame:
     """(h, component) of the items that are linked with another; `verified` keeps the similar ones of pairs (a, b).
 
-    Each key's least item is held against its others; then what shares a key and is apart, by the least items of each
+    Each key's lead is held against its other items; then what shares a key and is apart, by the least items of each
     component, and at last item by item. No candidate between different components is left out but those that `likely`, given
-    the names of two structs of what keys carry, tells apart beforehand.
+    what keys carry of two items, tells apart beforehand.
     """
-    item = F.struct(*[c for c in keys.columns if c not in ("k", "lead")])
-    tried = keys.where("h <> lead.h").select(F.col("lead").alias("a"), item.alias("b")).where(likely("a", "b"))
-    tried = shared.written(tried.select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct(), "pairs-tried")
-    links = verified(tried)
+    tried = keys.where("h <> lead_h").where(likely(F.col("lead_x"), F.col("x"))).select(F.col("lead_h").alias("a"), F.col("h").alias("b"))
+    tried = shared.written(tried.distinct(), "pairs-tried")
+    comps = shared.written(shared.components(verified(tried)), "link-groups")
     for by_cell in (True, False):
-        comps = shared.written(shared.components(links), "link-groups")
-        at = keys.select("k", item.alias("i")).join(comps, F.col("i.h") == F.col("node"), "left").select("k", F.coalesce("component", "i.h").alias("c"), "i")
+        at = keys.select("k", "h", "x").distinct().join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
         at = shared.written(at, "keys-placed")
-        apart = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+        apart = shared.written(at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k"), "keys-apart")
         cells = at.join(apart, "k", "left_semi")
-        cells = cells.groupBy("k", "c").agg(F.min("i").alias("i")) if by_cell else cells
-        pairs = cells.select("k", F.col("c").alias("ca"), F.col("i").alias("a")).join(cells.select("k", F.col("c").alias("cb"), F.col("i").alias("b")), "k").where("ca < cb").where(likely("a", "b"))
-        pairs = pairs.select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = shared.written(pairs, "pairs-apart")
-        links, tried = links.union(verified(pairs)), tried.union(pairs)
-    return shared.components(links).withColumnRenamed("node", "h")
+        if by_cell:
+            cells = cells.groupBy("k", "c").agg(F.min(F.struct("h", "x")).alias("i")).select("k", "c", "i.h", "i.x")
+        cells = shared.written(cells, "cells-apart")
+        pairs = cells.toDF(*[f"{c}_a" if c != "k" else c for c in cells.columns]).join(cells.toDF(*[f"{c}_b" if c != "k" else c for c in cells.columns]), "k")
+        pairs = pairs.where("c_a < c_b").where(likely(F.col("x_a"), F.col("x_b")))
+        pairs = pairs.groupBy(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).agg(F.min("c_a").alias("c_a"), F.max("c_b").alias("c_b"))
+        pairs = shared.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+        if pairs.isEmpty():
+            shared.drop_written(at, apart, cells)
+            continue
+        near = verified(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        merged = shared.components(near).toDF("component", "m")
+        # Items that had no component yet stand for themselves.
+        alone = merged.join(comps, merged["component"] == comps["node"], "left_anti").select(F.col("component").alias("node"), F.col("m").alias("component"))
+        moved = comps.join(merged, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+        tried = tried.union(pairs.select("a", "b"))
+        comps = shared.written(moved.union(alone), "link-groups")
+        shared.drop_written(at, apart, cells)
+    return comps.withColumnRenamed("node", "h")

@@ -28,18 +28,6 @@ def id_text(c: Column) -> Column:
     return c.cast("string")
 
 
-#: Rows of a batch that goes to Python and back. Texts are long: Spark's own 10,000 hold tens of MB several times over in each task.
-BATCH_ROWS = 1000
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Sets the session's batches to BATCH_ROWS at most; returns df."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def release_memory() -> None:
     """Called at the end of a Python task: workers are kept for later tasks, and should not keep this one's memory."""
     libc = ctypes.CDLL(None)
@@ -48,13 +36,20 @@ def release_memory() -> None:
 
 
 def _stars(e: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u > v)."""
+    """One large-star and one small-star step over edges (u > v).
+
+    The least neighbours are written before they are joined: both sides of the join then have exchanges of their own, and the
+    planner may split the rows of a hub with a great many neighbours.
+    """
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "edges-least")
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    large = written(large, "edges-large")
+    low = written(large.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
     small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.union(low.select("u", F.col("m").alias("v"))).distinct()
+    out = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    drop_written(least, large, low)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -71,7 +66,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state[0] == 0 or state == seen:
             break
         seen, old = state, e
-        e = written(_stars(e), "edges")
+        e = _stars(e)
         drop_written(old)
     else:
         raise RuntimeError("components did not settle")

@@ -103,12 +103,13 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return rows.where("not edge").drop("edge").union(cut)
 
 
-def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[Column, Column], Column] = lambda a, b: F.lit(True)) -> DataFrame:
+def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[Column, Column], Column], more: DataFrame | None = None, close: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(h, component) of the items that are linked with another; `verified` keeps the similar ones of pairs (a, b).
 
     Each key's lead is held against its other items; then what shares a key and is apart, by the least items of each
-    component, and at last item by item. No candidate between different components is left out but those that `likely`, given
-    what keys carry of two items, tells apart beforehand.
+    component, and at last item by item. No candidate between different components is left out but those that are told apart
+    beforehand: by `likely`, given what keys carry of two items, and by `close`, given the suffixes of two sets of the columns that
+    `more` has for each h.
     """
     tried = keys.where("h <> lead_h").where(likely(F.col("lead_x"), F.col("x"))).select(F.col("lead_h").alias("a"), F.col("h").alias("b"))
     tried = shared.written(tried.distinct(), "pairs-tried")
@@ -120,20 +121,21 @@ def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely:
         cells = at.join(apart, "k", "left_semi")
         if by_cell:
             cells = cells.groupBy("k", "c").agg(F.min(F.struct("h", "x")).alias("i")).select("k", "c", "i.h", "i.x")
-        cells = shared.written(cells, "cells-apart")
-        pairs = cells.toDF(*[f"{c}_a" if c != "k" else c for c in cells.columns]).join(cells.toDF(*[f"{c}_b" if c != "k" else c for c in cells.columns]), "k")
-        pairs = pairs.where("c_a < c_b").where(likely(F.col("x_a"), F.col("x_b")))
+        cells = shared.written(cells.join(more, "h") if more is not None else cells, "cells-apart")
+        side = lambda s: cells.toDF(*[c if c == "k" else c + s for c in cells.columns])
+        pairs = side("_a").join(side("_b"), "k").where("c_a < c_b").where(likely(F.col("x_a"), F.col("x_b")))
+        if close is not None:
+            pairs = pairs.where(close("_a", "_b"))
         pairs = pairs.groupBy(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).agg(F.min("c_a").alias("c_a"), F.max("c_b").alias("c_b"))
         pairs = shared.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+        shared.drop_written(at, apart, cells)
         if pairs.isEmpty():
-            shared.drop_written(at, apart, cells)
             continue
         near = verified(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-        merged = shared.components(near).toDF("component", "m")
+        merged = shared.written(shared.components(near), "link-groups").toDF("component", "m")
         # Items that had no component yet stand for themselves.
         alone = merged.join(comps, merged["component"] == comps["node"], "left_anti").select(F.col("component").alias("node"), F.col("m").alias("component"))
         moved = comps.join(merged, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
         tried = tried.union(pairs.select("a", "b"))
         comps = shared.written(moved.union(alone), "link-groups")
-        shared.drop_written(at, apart, cells)
     return comps.withColumnRenamed("node", "h")

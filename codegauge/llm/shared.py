@@ -52,21 +52,25 @@ def _stars(e: DataFrame) -> DataFrame:
     return out
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether each node has one edge to its component's least node, or is such a least node."""
+    sides = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(e.select("v", F.lit(0), F.lit(1)))
+    return sides.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up + low > 1").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b); component is the least node reachable.
 
     Large-star / small-star rounds over DataFrames: each halves distances to the least node, and each is
-    written to the shared folder. Only counts come to the driver. Self-loops and nulls make no edge; a
+    written to the shared folder. No edge comes to the driver. Self-loops and nulls make no edge; a
     node without edges has no row. Raises if the rounds do not suffice.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u > v").distinct()
-    e, seen = written(e, "edges"), None
+    e = written(e, "edges")
     for _ in range(rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
+        if _settled(e):
             break
-        seen, old = state, e
-        e = _stars(e)
+        old, e = e, _stars(e)
         drop_written(old)
     else:
         raise RuntimeError("components did not settle")

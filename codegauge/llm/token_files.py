@@ -24,10 +24,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import BATCH_BYTES, settings
 from . import shared, tokens
+from .shared import release_memory
 
 MAGIC, END = b"CGTB1\0\0\0", 0
 #: A block holds about so many ids: a few MB, which bounds a task's memory.
@@ -88,24 +90,62 @@ def decode_file(raw: bytes) -> Iterator[tuple[int, int, list[int | None], np.nda
         at += size + 1
 
 
-def id_counts(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(id, n): how often each id occurs in all whole texts; a task sends one row an id at most."""
+def token_blocks(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+    """(part, number, doc_ids, sizes, ids): all whole texts' ids in ascending doc_id order, nulls first, cut into blocks.
+
+    Texts are dealt by ranges of doc_id and tokenised once. A block is closed when it holds BLOCK_IDS ids, which is looked at
+    after each megabyte of text; a longer text is in one block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.encoder(path)
-        total = np.zeros(max(coder.size, end + 1), np.int64)
+        part, number, coder = TaskContext.get().partitionId(), 0, tokens.encoder(path)
+        doc_ids: list[int | None] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held = 0
+
+        def block() -> pa.RecordBatch:
+            columns = [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64()))]
+            columns += [pa.array([np.concatenate(x).astype("<u4").tobytes()], pa.binary()) for x in (sizes, ids)]
+            return pa.record_batch(columns, names=["part", "number", "doc_ids", "sizes", "ids"])
+
+        for b in batches:
+            own, at = b.column(0).to_pylist(), 0
+            while at < len(own):
+                lot, size = [], 0
+                while at + len(lot) < len(own) and (not lot or size < tokens.SLICE):
+                    lot.append(b.column(1)[at + len(lot)].as_py())
+                    size += len(lot[-1] or "")
+                flat, n = coder.ids_of(lot)
+                doc_ids += own[at : at + len(lot)]
+                ids.append(np.insert(flat, np.cumsum(n), end))
+                sizes.append(n + 1)
+                at, held = at + len(lot), held + len(ids[-1])
+                if held >= BLOCK_IDS:
+                    yield block()
+                    doc_ids, ids, sizes, held, number = [], [], [], 0, number + 1
+        if doc_ids:
+            yield block()
+        coder.forget()
 
-        def texts() -> Iterator[list[str | None]]:
-            for b in batches:
-                total[end] += b.num_rows
-                for at in range(0, b.num_rows, 500):
-                    yield b.column(0).slice(at, 500).to_pylist()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return shared.written(rows.mapInArrow(run, "part long, number long, doc_ids array<long>, sizes binary, ids binary"), "token-blocks")
 
-        coder.count_ids(texts(), total)
+
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs in all blocks; a task sends one row an id at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for ids in b.column(0):
+                n = np.bincount(np.frombuffer(ids.as_py(), "<u4"), minlength=len(total))
+                n[: len(total)] += total
+                total = n
         i = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(total[i])], names=["id", "n"])
+        yield pa.record_batch([pa.array(i.astype(np.int64)), pa.array(total[i])], names=["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return shared.written(blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "token-counts")
 
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> None:
@@ -114,33 +154,23 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     The folder is any that Spark writes to: each block is a binary value that the text writer puts out as it
     is, one block a file, under Spark's committer, so a lost executor leaves no half-written file.
     """
-    path = path or tokens.vocabulary_path()
-    counted = id_counts(docs, path, end).collect()  # a row for each id of the vocabulary at most
+    blocks = token_blocks(docs, path or tokens.vocabulary_path(), end)
+    counts = id_counts(blocks)
+    counted = counts.collect()  # a row for each id of the vocabulary at most
     by_rank = np.array([i for i, _ in sorted(counted, key=lambda r: (-r[1], r[0]))], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, coder = TaskContext.get().partitionId(), 0, tokens.encoder(path)
-        doc_ids: list[int | None] = []
-        ids: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        held = 0
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                doc_ids += b.column(0).slice(at, 500).to_pylist()
-                flat, n = coder.ids_of(b.column(1).slice(at, 500).to_pylist())
-                ids.append(np.insert(flat, np.cumsum(n), end))
-                sizes.append(n + 1)
-                held += len(ids[-1])
-                if held >= BLOCK_IDS:
-                    yield pa.record_batch([pa.array([encode_block(part, number, doc_ids, np.concatenate(sizes), np.concatenate(ids), by_rank)], pa.binary())], names=["value"])
-                    doc_ids, ids, sizes, held, number = [], [], [], 0, number + 1
-        if doc_ids:
-            yield pa.record_batch([pa.array([encode_block(part, number, doc_ids, np.concatenate(sizes), np.concatenate(ids), by_rank)], pa.binary())], names=["value"])
+            for k in range(b.num_rows):
+                part, number, doc_ids, sizes, ids = (b.column(n)[k].as_py() for n in range(5))
+                raw = encode_block(part, number, doc_ids, np.frombuffer(sizes, "<u4"), np.frombuffer(ids, "<u4"), by_rank)
+                yield pa.record_batch([pa.array([raw], pa.binary())], names=["value"])
+        release_memory()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    blocks = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    blocks.write.option("maxRecordsPerFile", 1).text(folder)
+    out = blocks.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES)):
+        out.write.option("maxRecordsPerFile", 1).text(folder)
+    shared.drop_written(blocks, counts)
 
 
 def read_files(spark, folder: str) -> DataFrame:
@@ -172,10 +202,13 @@ def digest(docs: DataFrame, path: str | None = None, end: int = END) -> DataFram
     spark = docs.sparkSession
     write_files(docs, folder := shared.place(spark, "token-files"), path, end)
     rows = shared.written(read_files(spark, folder), "token-digests")
-    # One row for each block comes to the driver: some 6 million ids each.
-    starts, total = [], 0
-    for part, block, n in rows.groupBy("part", "block").agg(F.sum("n_tokens")).orderBy("part", "block").collect():
-        starts.append((part, block, total))
+    blocks = shared.written(rows.groupBy("part", "block").agg(F.sum("n_tokens").alias("n")), "token-block-sizes")
+    # One row for each part, that is each partition of the writing job, comes to the driver.
+    parts, total = [], 0
+    for part, n in blocks.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
+        parts.append((part, total))
         total += n
-    first = spark.createDataFrame(starts, "part long, block long, before long")
+    earlier = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.withColumn("inside", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(spark.createDataFrame(parts, "part long, before long"), "part")
+    first = shared.written(first.select("part", "block", (F.col("before") + F.col("inside")).alias("before")), "token-block-starts")
     return rows.join(first, ["part", "block"]).select("doc_id", (F.col("before") + F.col("in_block")).alias("start"), "n_tokens", "ids_crc32")

@@ -58,44 +58,46 @@ def sketches_differ(a: Column, b: Column) -> Column:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by (k, h): the rows of keys that several items share, and the first item of its first and last key."""
+    """Of a partition sorted by k: the rows of keys that several items share, and the first item of its first and last key."""
     names = ["k", "h", "x", "lead_h", "lead_x", "edge"]
-    head = last = held = None  # (k, h, x) of the partition's first row, of the last key's first row, and that row while it is alone
-    last_h = 0
+    head = last = None  # (k, h, x) of the first row, and of the last key's first row
+    alone = True  # the last key has had no item but its first
+    one = lambda e, edge: pa.record_batch([pa.array([v], pa.int64()) for v in (*e, *e[1:])] + [pa.array([edge])], names=names)
     for b in batches:
-        k, h, x = (b.column(n).to_numpy() for n in range(3))
-        new = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]))[: len(k)]
-        if len(k) and last and (k[0], h[0]) == (last[0], last_h):
-            new[0] = False
-        k, h, x = k[new], h[new], x[new]
-        if not len(k):
+        if not b.num_rows:
             continue
+        k, h, x = (b.column(n).to_numpy() for n in range(3))
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         size = np.diff(first, append=len(k))
-        lead_h, lead_x, many = np.repeat(h[first], size), np.repeat(x[first], size), np.repeat(size > 1, size)
+        lead_h, lead_x = h[first], x[first]
         row = lambda i: (int(k[i]), int(h[i]), int(x[i]))
         head = head or row(0)
-        on = bool(last) and k[0] == last[0]
+        on = last is not None and k[0] == last[0]
         if on:
-            lead_h[: size[0]], lead_x[: size[0]], many[: size[0]] = last[1], last[2], True
-            if held:
-                yield pa.record_batch([pa.array([v], pa.int64()) for v in (*held, *held[1:])] + [pa.array([False])], names=names)
-        held = row(-1) if size[-1] == 1 and not (on and len(first) == 1) else None
+            lead_h[0], lead_x[0] = last[1:]
+        lead = np.repeat(lead_h, size)
+        other = h != lead
+        many = np.logical_or.reduceat(other, first)
+        if on and many[0] and alone:
+            yield one(last, False)
+        emit = other.copy()
+        begin = first[1:] if on else first  # of each shared key its first row, and all rows of other items
+        emit[begin[many[1:] if on else many]] = True
+        alone = not many[-1] and (alone if on and len(first) == 1 else True)
         last = last if on and len(first) == 1 else row(int(first[-1]))
-        last_h = int(h[-1])
-        yield pa.record_batch([pa.array(v[many]) for v in (k, h, x, lead_h, lead_x)] + [pa.array(np.zeros(int(many.sum()), bool))], names=names)
+        yield pa.record_batch([pa.array(v) for v in (k[emit], h[emit], x[emit], lead[emit], np.repeat(lead_x, size)[emit], np.zeros(int(emit.sum()), bool))], names=names)
     for e in (head, last):
         if e:
-            yield pa.record_batch([pa.array([v], pa.int64()) for v in (*e, *e[1:])] + [pa.array([True])], names=names)
+            yield one(e, True)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(k, h, x) to (k, h, x, lead_h, lead_x) of the keys that several items h share, each once; the lead is the least of them.
+    """(k, h, x) to (k, h, x, lead_h, lead_x) of the keys that several items h share; the lead is one of the key's items.
 
-    One exchange by ranges of (k, h), so that a key of any number of items is dealt over tasks. In each part of such a key
-    the lead is the part's least item, and the parts' leads are led by the least of all.
+    One exchange by ranges of (k, h), so that a key of any number of items is dealt over tasks. Each part of such a key has a
+    lead of its own, and the parts' leads are led by the least of them. An item may have several rows of a key.
     """
-    rows = keys.select("k", "h", "x").repartitionByRange("k", "h").sortWithinPartitions("k", "h")
+    rows = keys.select("k", "h", "x").repartitionByRange("k", "h").sortWithinPartitions("k")
     rows = shared.written(rows.mapInArrow(_runs, "k long, h long, x long, lead_h long, lead_x long, edge boolean"), "keys-shared")
     ends = rows.where("edge").select("k", "h", "x").distinct()
     cut = ends.groupBy("k").agg(F.min(F.struct("h", "x")).alias("lead"), F.max("h").alias("most")).where("lead.h <> most")
@@ -111,24 +113,30 @@ def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely:
     beforehand: by `likely`, given what keys carry of two items, and by `close`, given the suffixes of two sets of the columns that
     `more` has for each h.
     """
-    tried = keys.where("h <> lead_h").where(likely(F.col("lead_x"), F.col("x"))).select(F.col("lead_h").alias("a"), F.col("h").alias("b"))
+    tried = keys.where("h <> lead_h").where(likely(F.col("lead_x"), F.col("x"))).select(F.least("lead_h", "h").alias("a"), F.greatest("lead_h", "h").alias("b"))
     tried = shared.written(tried.distinct(), "pairs-tried")
     comps = shared.written(shared.components(verified(tried)), "link-groups")
     for by_cell in (True, False):
         at = keys.select("k", "h", "x").distinct().join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
         at = shared.written(at, "keys-placed")
-        apart = shared.written(at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k"), "keys-apart")
+        apart = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
         cells = at.join(apart, "k", "left_semi")
         if by_cell:
             cells = cells.groupBy("k", "c").agg(F.min(F.struct("h", "x")).alias("i")).select("k", "c", "i.h", "i.x")
-        cells = shared.written(cells.join(more, "h") if more is not None else cells, "cells-apart")
-        side = lambda s: cells.toDF(*[c if c == "k" else c + s for c in cells.columns])
+        cells = shared.written(cells, "cells-apart")
+        if cells.isEmpty():
+            break
+        wide = cells.join(cells.groupBy("h").agg(F.collect_set("k").alias("ks")), "h")
+        wide = shared.written(wide.join(more, "h") if more is not None else wide, "cells-wide")
+        side = lambda s: wide.toDF(*[c if c == "k" else c + s for c in wide.columns])
         pairs = side("_a").join(side("_b"), "k").where("c_a < c_b").where(likely(F.col("x_a"), F.col("x_b")))
+        # A pair may share several keys; it is made at the least of them alone.
+        pairs = pairs.where((F.size("ks_a") == 1) | (F.size("ks_b") == 1) | (F.col("k") == F.array_min(F.array_intersect("ks_a", "ks_b"))))
         if close is not None:
             pairs = pairs.where(close("_a", "_b"))
         pairs = pairs.groupBy(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).agg(F.min("c_a").alias("c_a"), F.max("c_b").alias("c_b"))
         pairs = shared.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
-        shared.drop_written(at, apart, cells)
+        shared.drop_written(at, cells, wide)
         if pairs.isEmpty():
             continue
         near = verified(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))

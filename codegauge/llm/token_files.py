@@ -91,7 +91,7 @@ def decode_file(raw: bytes) -> Iterator[tuple[int, int, list[int | None], np.nda
 
 
 def token_blocks(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(part, number, doc_ids, sizes, ids): all whole texts' ids in ascending doc_id order, nulls first, cut into blocks.
+    """(part, number, doc_ids, width, sizes, ids): all whole texts' ids in ascending doc_id order, nulls first, cut into blocks.
 
     Texts are dealt by ranges of doc_id and tokenised once. A block is closed when it holds BLOCK_IDS ids, which is looked at
     after each megabyte of text; a longer text is in one block.
@@ -99,15 +99,16 @@ def token_blocks(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, coder = TaskContext.get().partitionId(), 0, tokens.encoder(path)
+        width = "<u2" if max(coder.size, end + 1) <= 1 << 16 else "<u4"
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         held = 0
 
         def block() -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64()))]
-            columns += [pa.array([np.concatenate(x).astype("<u4").tobytes()], pa.binary()) for x in (sizes, ids)]
-            return pa.record_batch(columns, names=["part", "number", "doc_ids", "sizes", "ids"])
+            columns = [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([width])]
+            columns += [pa.array([np.concatenate(x).astype(t).tobytes()], pa.binary()) for x, t in ((sizes, "<u4"), (ids, width))]
+            return pa.record_batch(columns, names=["part", "number", "doc_ids", "width", "sizes", "ids"])
 
         for b in batches:
             own, at = b.column(0).to_pylist(), 0
@@ -126,10 +127,10 @@ def token_blocks(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                     doc_ids, ids, sizes, held, number = [], [], [], 0, number + 1
         if doc_ids:
             yield block()
-        coder.forget()
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return shared.written(rows.mapInArrow(run, "part long, number long, doc_ids array<long>, sizes binary, ids binary"), "token-blocks")
+    return shared.written(rows.mapInArrow(run, "part long, number long, doc_ids array<long>, width string, sizes binary, ids binary"), "token-blocks")
 
 
 def id_counts(blocks: DataFrame) -> DataFrame:
@@ -138,14 +139,14 @@ def id_counts(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column(0):
-                n = np.bincount(np.frombuffer(ids.as_py(), "<u4"), minlength=len(total))
+            for width, ids in zip(b.column(0), b.column(1)):
+                n = np.bincount(np.frombuffer(ids.as_py(), width.as_py()), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         i = np.flatnonzero(total)
         yield pa.record_batch([pa.array(i.astype(np.int64)), pa.array(total[i])], names=["id", "n"])
 
-    return shared.written(blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "token-counts")
+    return shared.written(blocks.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "token-counts")
 
 
 def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> None:
@@ -162,8 +163,8 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                part, number, doc_ids, sizes, ids = (b.column(n)[k].as_py() for n in range(5))
-                raw = encode_block(part, number, doc_ids, np.frombuffer(sizes, "<u4"), np.frombuffer(ids, "<u4"), by_rank)
+                part, number, doc_ids, width, sizes, ids = (b.column(n)[k].as_py() for n in range(6))
+                raw = encode_block(part, number, doc_ids, np.frombuffer(sizes, "<u4"), np.frombuffer(ids, width), by_rank)
                 yield pa.record_batch([pa.array([raw], pa.binary())], names=["value"])
         release_memory()
 

@@ -59,10 +59,11 @@ def sketches_differ(a: Column, b: Column) -> Column:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by k: the rows of keys that several items share, and the first item of its first and last key."""
-    names = ["k", "h", "x", "lead_h", "lead_x", "edge"]
+    names = ["k", "h", "x", "lead_h", "lead_x", "more", "edge"]
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     head = last = None  # (k, h, x) of the first row, and of the last key's first row
     alone = True  # the last key has had no item but its first
-    one = lambda e, edge: pa.record_batch([pa.array([v], pa.int64()) for v in (*e, *e[1:])] + [pa.array([edge])], names=names)
+    one = lambda e, edge: pa.record_batch([pa.array([v], pa.int64()) for v in (*e, *e[1:])] + [pa.array([True]), pa.array([edge])], names=names)
     for b in batches:
         if not b.num_rows:
             continue
@@ -78,6 +79,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.repeat(lead_h, size)
         other = h != lead
         many = np.logical_or.reduceat(other, first)
+        third = np.minimum.reduceat(np.where(other, h, high), first) < np.maximum.reduceat(np.where(other, h, low), first)
+        third[[0, -1]] = True  # such a key may go on in another batch or partition
         if on and many[0] and alone:
             yield one(last, False)
         emit = other.copy()
@@ -85,65 +88,79 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit[begin[many[1:] if on else many]] = True
         alone = not many[-1] and (alone if on and len(first) == 1 else True)
         last = last if on and len(first) == 1 else row(int(first[-1]))
-        yield pa.record_batch([pa.array(v) for v in (k[emit], h[emit], x[emit], lead[emit], np.repeat(lead_x, size)[emit], np.zeros(int(emit.sum()), bool))], names=names)
+        yield pa.record_batch([pa.array(v) for v in (k[emit], h[emit], x[emit], lead[emit], np.repeat(lead_x, size)[emit], np.repeat(third, size)[emit], np.zeros(int(emit.sum()), bool))], names=names)
     for e in (head, last):
         if e:
             yield one(e, True)
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(k, h, x) to (k, h, x, lead_h, lead_x) of the keys that several items h share; the lead is one of the key's items.
+    """(k, h, x) to (k, h, x, lead_h, lead_x, more) of the keys that several items h share; the lead is one of the key's items.
 
     One exchange by ranges of (k, h), so that a key of any number of items is dealt over tasks. Each part of such a key has a
-    lead of its own, and the parts' leads are led by the least of them. An item may have several rows of a key.
+    lead of its own, and the parts' leads are led by the least of them. An item may have several rows of a key. Where `more` is
+    false the key has the lead and one other item.
     """
     rows = keys.select("k", "h", "x").repartitionByRange("k", "h").sortWithinPartitions("k")
-    rows = shared.written(rows.mapInArrow(_runs, "k long, h long, x long, lead_h long, lead_x long, edge boolean"), "keys-shared")
+    rows = shared.written(rows.mapInArrow(_runs, "k long, h long, x long, lead_h long, lead_x long, more boolean, edge boolean"), "keys-shared")
     ends = rows.where("edge").select("k", "h", "x").distinct()
     cut = ends.groupBy("k").agg(F.min(F.struct("h", "x")).alias("lead"), F.max("h").alias("most")).where("lead.h <> most")
-    cut = ends.join(cut, "k").select("k", "h", "x", F.col("lead.h").alias("lead_h"), F.col("lead.x").alias("lead_x"))
+    cut = ends.join(cut, "k").select("k", "h", "x", F.col("lead.h").alias("lead_h"), F.col("lead.x").alias("lead_x"), F.lit(True).alias("more"))
     return rows.where("not edge").drop("edge").union(cut)
 
 
-def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[Column, Column], Column], more: DataFrame | None = None, close: Callable[[str, str], Column] | None = None) -> DataFrame:
+def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[Column, Column], Column]) -> DataFrame:
     """(h, component) of the items that are linked with another; `verified` keeps the similar ones of pairs (a, b).
 
-    Each key's lead is held against its other items; then what shares a key and is apart, by the least items of each
-    component, and at last item by item. No candidate between different components is left out but those that are told apart
-    beforehand: by `likely`, given what keys carry of two items, and by `close`, given the suffixes of two sets of the columns that
-    `more` has for each h.
+    Each key's lead is held against its other items, which is all for a key of two. In other keys, the items of one component are
+    a cell: cells that are apart are held against each other by one item each, the lead if it is one of them, and then
+    their other items against all that is still apart. No candidate between different components is left out but those that
+    `likely` tells apart, given what keys carry of two items.
     """
     tried = keys.where("h <> lead_h").where(likely(F.col("lead_x"), F.col("x"))).select(F.least("lead_h", "h").alias("a"), F.greatest("lead_h", "h").alias("b"))
     tried = shared.written(tried.distinct(), "pairs-tried")
     comps = shared.written(shared.components(verified(tried)), "link-groups")
-    for by_cell in (True, False):
-        at = keys.select("k", "h", "x").distinct().join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
-        at = shared.written(at, "keys-placed")
-        apart = at.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
-        cells = at.join(apart, "k", "left_semi")
-        if by_cell:
-            cells = cells.groupBy("k", "c").agg(F.min(F.struct("h", "x")).alias("i")).select("k", "c", "i.h", "i.x")
-        cells = shared.written(cells, "cells-apart")
-        if cells.isEmpty():
-            break
-        wide = cells.join(cells.groupBy("h").agg(F.collect_set("k").alias("ks")), "h")
-        wide = shared.written(wide.join(more, "h") if more is not None else wide, "cells-wide")
-        side = lambda s: wide.toDF(*[c if c == "k" else c + s for c in wide.columns])
-        pairs = side("_a").join(side("_b"), "k").where("c_a < c_b").where(likely(F.col("x_a"), F.col("x_b")))
-        # A pair may share several keys; it is made at the least of them alone.
-        pairs = pairs.where((F.size("ks_a") == 1) | (F.size("ks_b") == 1) | (F.col("k") == F.array_min(F.array_intersect("ks_a", "ks_b"))))
-        if close is not None:
-            pairs = pairs.where(close("_a", "_b"))
-        pairs = pairs.groupBy(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).agg(F.min("c_a").alias("c_a"), F.max("c_b").alias("c_b"))
-        pairs = shared.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
-        shared.drop_written(at, cells, wide)
-        if pairs.isEmpty():
-            continue
-        near = verified(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-        merged = shared.written(shared.components(near), "link-groups").toDF("component", "m")
-        # Items that had no component yet stand for themselves.
-        alone = merged.join(comps, merged["component"] == comps["node"], "left_anti").select(F.col("component").alias("node"), F.col("m").alias("component"))
-        moved = comps.join(merged, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
-        tried = tried.union(pairs.select("a", "b"))
-        comps = shared.written(moved.union(alone), "link-groups")
+    led = F.max(F.col("h") == F.col("lead_h")).alias("led")
+    items = keys.where("more").groupBy("k", "h").agg(F.first("x").alias("x"), F.min("lead_h").alias("lead"), led)
+    items = shared.written(_placed(items, comps), "keys-placed")
+    apart = items.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+    items = items.join(apart, "k", "left_semi")
+    cells = items.groupBy("k", "c").agg(F.min(F.struct(~F.col("led"), "h", "x", "lead")).alias("i"), F.count("*").alias("n"))
+    cells = shared.written(cells.select("k", "c", "i.h", "i.x", "i.lead", "n"), "cells-apart")
+    pairs = _pairs(cells, cells, F.col("c_a") < F.col("c_b"), likely, tried)
+    comps = _merged(comps, verified(pairs.select("a", "b")), pairs)
+    if not cells.where("n > 1").isEmpty():
+        one = cells.where("n > 1").select("k", "c", F.col("h").alias("one"))
+        rest = items.join(one, ["k", "c"]).where("h <> one").select("k", "h").withColumn("rest", F.lit(True))
+        items = items.join(rest.select("k").distinct(), "k", "left_semi").join(rest, ["k", "h"], "left").drop("c")
+        items = shared.written(_placed(items, comps).withColumn("rest", F.col("rest").isNotNull()), "cells-apart")
+        once = (F.col("c_a") != F.col("c_b")) & (~F.col("rest_b") | (F.col("h_a") < F.col("h_b")))
+        pairs = _pairs(items.where("rest"), items, once, likely, tried.union(pairs.select("a", "b")))
+        comps = _merged(comps, verified(pairs.select("a", "b")), pairs)
     return comps.withColumnRenamed("node", "h")
+
+
+def _placed(items: DataFrame, comps: DataFrame) -> DataFrame:
+    """items with their component c, which is an item's own h where it has none."""
+    return items.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h")).drop("component")
+
+
+def _pairs(one: DataFrame, other: DataFrame, apart: Column, likely: Callable[[Column, Column], Column], tried: DataFrame) -> DataFrame:
+    """(a, b, c_a, c_b): likely pairs of items that share a key, are apart and have not been tried; each once, a < b."""
+    side = lambda t, s: t.toDF(*[c if c == "k" else f"{c}_{s}" for c in t.columns])
+    pairs = side(one, "a").join(side(other, "b"), "k").where(apart & (F.col("h_a") != F.col("lead_b")) & (F.col("h_b") != F.col("lead_a")))
+    pairs = pairs.where(likely(F.col("x_a"), F.col("x_b"))).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b"), "c_a", "c_b")
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.least("c_a", "c_b")).alias("c_a"), F.max(F.greatest("c_a", "c_b")).alias("c_b"))
+    return shared.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs-apart")
+
+
+def _merged(comps: DataFrame, near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """comps (node, component) after the links `near` of pairs (a, b, c_a, c_b)."""
+    if near.isEmpty():
+        return comps
+    links = near.join(pairs, ["a", "b"]).select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    merged = shared.written(shared.components(links), "link-groups").toDF("component", "m")
+    # Items that had no component yet stand for themselves.
+    alone = merged.join(comps, merged["component"] == comps["node"], "left_anti").select(F.col("component").alias("node"), F.col("m").alias("component"))
+    moved = comps.join(merged, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    return shared.written(moved.union(alone), "link-groups")

@@ -1,7 +1,7 @@
 """URL rules, carried along redirects and canonical links. DataFrame functions only.
 
 A URL is judged by the longest rule that fits its host (or a parent domain) and the start of its path. URLs are then
-nodes, by host and path, and a page is linked to the target of its canonical link and of its meta refresh (a table of
+nodes, whole but for scheme and fragment, and a page is linked to the target of its canonical link and of its meta refresh (a table of
 observed redirects may add more). A URL without a rule takes its component's verdict: allow if a URL there has an
 allow rule, else block if one has a block rule, else allow. A URL's own rule always stands.
 """
@@ -71,7 +71,8 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def node(url: Column) -> Column:
-    return F.concat(host(url), path(url))
+    """Host, path and query: what tells two URLs apart."""
+    return F.concat(host(url), path(url), F.regexp_extract(F.coalesce(_after(url), F.lit("")), r"^[^?#]*(\?[^#]*)", 1))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -84,17 +85,17 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     edges = page_links(pages)
     if redirects is not None:
         edges = edges.union(redirects.where(_after(F.col("source_url")).isNotNull() & _after(F.col("target_url")).isNotNull()).select(node(F.col("source_url")), node(F.col("target_url"))))
-    judged = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    judged = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), node(F.col("url")).alias("node"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", rule.alias("rule"), verdict.alias("own"))
     comps = shared.components(edges)
-    # A node is host then path, and a path is empty or starts with "/".
-    own = best_rule(F.regexp_extract("node", r"^[^/]*", 0), F.regexp_extract("node", r"^[^/]*(.*)$", 1), rules)[1]
+    # A node is host, path and query; a path is empty or starts with "/", a query with "?".
+    own = best_rule(F.regexp_extract("node", r"^[^/?]*", 0), F.regexp_extract("node", r"^[^/?]*([^?]*)", 1), rules)[1]
     votes = comps.select("component", own.alias("v")).groupBy("component").agg(F.max(F.when(F.col("v") == "allow", 1).otherwise(0)).alias("allowed"), F.max(F.when(F.col("v") == "block", 1).otherwise(0)).alias("blocked"))
     passed = comps.join(votes, "component").where("allowed = 0 and blocked = 1").select("node")
     blocked = shared.written(passed.withColumn("hit", F.lit(True)), "blocked-aliases")
     # Only URLs without a rule look themselves up, by a key that spreads the rest.
-    key = F.when(F.col("own").isNull() & (F.col("host") != ""), F.concat("host", "path")).alias("node")
+    key = F.when(F.col("own").isNull() & (F.col("host") != ""), F.col("node"))
     both = judged.withColumn("node", key).join(blocked, "node", "left")
     return both.select(
         "page_id", "host", "path", "rule",

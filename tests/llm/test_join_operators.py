@@ -75,6 +75,13 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_urls_that_differ_in_the_query_are_two(spark):
+    rows = [(1, "http://shop.org/item?id=1#top", '<link rel="canonical" href="http://foo.net/fr/q?x=/en/">'), (2, "http://shop.org/item?id=2", ""), (3, "http://shop.org/item", ""), (4, "https://shop.org/item?id=1", "")]
+    rows += [(5, "http://other.org?u=/a", '<meta http-equiv="refresh" content="0; url=/item?id=1">'), (6, "http://other.org/item?id=1", '<link rel=canonical href="http://shop.org/item?id=1">')]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "block"}
+
+
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
     rows = [

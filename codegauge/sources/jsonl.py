@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,18 +42,24 @@ def rejected(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transformed_lines(spark: SparkSession, path: str, field: str, change, keep_original: bool = False) -> DataFrame:
-    """(value, changed): each line with one field changed; bad and blank lines pass as they are.
+    """(value, changed): each line with one text field changed; other fields keep their types and order.
 
-    change maps a Column to a Column. With keep_original the result goes to <field>_norm.
+    Bad and blank lines, and those where the field is no string, pass as they are. change maps a Column to a Column. With keep_original the result goes to <field>_norm.
     """
     t = lines(spark, path)
-    parsed = F.from_json("value", "map<string,string>")
-    old = F.get_json_object("value", f"$.{field}")
+    at = f"$['{field}']"
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), at, "variant")) == "STRING"
+    old = F.when(is_text, F.get_json_object("value", at))
     target = f"{field}_norm" if keep_original else field
     new = change(old)
-    merged = F.to_json(F.map_concat(F.map_filter(parsed, lambda k, _: k != target), F.create_map(F.lit(target), new)))
+
+    @F.pandas_udf("string")
+    def put(value: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([v if x is None else json.dumps(json.loads(v) | {target: x}, ensure_ascii=False) for v, x in zip(value, text)], dtype=object)
+
     ok = old.isNotNull() & new.isNotNull()
-    return t.orderBy("file", "ordinal").select(F.when(ok, merged).otherwise(F.col("value")).alias("value"), (ok & (old != new)).alias("changed"))
+    t = t.select("file", "ordinal", put("value", F.when(ok, new)).alias("value"), F.coalesce(ok & (old != new), F.lit(False)).alias("changed"))
+    return t.orderBy("file", "ordinal").select("value", "changed")
 
 
 def load_index(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:

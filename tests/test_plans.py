@@ -123,6 +123,12 @@ def test_jsonl(spark, tmp_path):
     assert jsonl.read_jsonl(spark, other, schemas.PREDICTION, tolerant=True).count() == 1 and jsonl.rejected(spark, other).count() == 2
     got = jsonl.transformed_lines(spark, other, "code", F.upper).collect()
     assert [r.value for r in got][1:] == ["nonsense", "[1]"] and json.loads(got[0].value) == {"task_id": "a", "code": "X"} and [r.changed for r in got] == [True, False, False]
+    with open(other, "w") as f:
+        f.write('{"n":3,"code":"a b","ok":true,"tags":["x",1],"o":{"k":null}}\n\n{"code": 5}\n')
+    kept = [r.value for r in jsonl.transformed_lines(spark, other, "code", F.upper).collect()]
+    assert kept == ['{"n": 3, "code": "A B", "ok": true, "tags": ["x", 1], "o": {"k": null}}', "", '{"code": 5}']
+    normed = jsonl.transformed_lines(spark, other, "code", F.upper, keep_original=True).first()
+    assert json.loads(normed.value) == {"n": 3, "code": "a b", "ok": True, "tags": ["x", 1], "o": {"k": None}, "code_norm": "A B"}
     with pytest.raises(FileNotFoundError):
         jsonl.require_inputs(spark, [path, path + ".none"], [str(tmp_path)])
     with pytest.raises(contracts.ContractError):

@@ -57,56 +57,120 @@ def sketches_differ(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit((1 << 2 * SYMBOLS) // 3)))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by k: the rows of keys that several items share, and the first item of its first and last key."""
-    names = ["k", "h", "x", "lead_h", "lead_x", "more", "edge"]
-    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-    head = last = None  # (k, h, x) of the first row, and of the last key's first row
-    alone = True  # the last key has had no item but its first
-    one = lambda e, edge: pa.record_batch([pa.array([v], pa.int64()) for v in (*e, *e[1:])] + [pa.array([True]), pa.array([edge])], names=names)
+#: Keys that a task packs at a time, keys of a bucket on average, and items of a key in a lot from which they are led there.
+LOT, BUCKET, OFTEN = 1 << 19, 1 << 17, 8
+_PLAIN, _LEADS, _DONE = 0, 1, 2
+
+
+def _grouped(k: np.ndarray, h: np.ndarray, x: np.ndarray, led: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows sorted by (k, h), each (k, h) once (led if any is), then where each k begins and how many rows it has."""
+    order = np.lexsort((h, k))
+    k, h, x, led = k[order], h[order], x[order], led[order]
+    at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
+    k, h, x, led = k[at], h[at], x[at], np.logical_or.reduceat(led, at)
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    return k, h, x, led, first, np.diff(first, append=len(k))
+
+
+def _blobs(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row (bucket, kind, blob) for each run of equal buckets; the blob has the run's values row by row."""
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    data = np.ascontiguousarray(np.stack([c.view(np.int64) for c in columns], axis=1))
+    offsets = (np.append(cuts, len(bucket)) * 8 * len(columns)).astype(np.int32)
+    blob = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pa.record_batch([pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int32)), blob], names=["bucket", "kind", "blob"])
+
+
+def _packed_lot(k: np.ndarray, h: np.ndarray, x: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A lot's keys by bucket. Of a key that many items of the lot have, the rows are made here; its lead alone goes on."""
+    place = lambda v: ((v >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(k)
+    k, h, x = k[order], h[order], x[order]
+    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(first, append=len(k))
+    often = np.repeat(size >= OFTEN, size)
+    if often.any():
+        gk, gh, gx, _, first, size = _grouped(k[often], h[often], x[often], np.zeros(int(often.sum()), bool))
+        for kind, chosen in ((_PLAIN, first[size == 1]), (_LEADS, first[size > 1])):
+            if len(chosen):
+                yield _blobs(kind, place(gk[chosen]), gk[chosen], gh[chosen], gx[chosen])
+        rows = np.repeat(size > 1, size)
+        lead = np.repeat(first, size)[rows]
+        if len(lead):  # rows that are done need no bucket: they go anywhere
+            yield _blobs(_DONE, -1 - (np.arange(len(lead)) // 4096 + int(gk[0] & np.uint64(0xFFFF))), gk[rows], gh[rows], gx[rows], gh[lead], gx[lead])
+        k, h, x = k[~often], h[~often], x[~often]
+    if len(k):
+        yield _blobs(_PLAIN, place(k), k, h, x)
+
+
+def _packed(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, held = [], 0
+        for b in batches:
+            count = np.diff(b.column(2).offsets.to_numpy())
+            lot.append((b.column(2).flatten().to_numpy().view(np.uint64), *(np.repeat(b.column(c).to_numpy(), count) for c in (0, 1))))
+            held += len(lot[-1][0])
+            if held >= LOT:
+                yield from _packed_lot(*map(np.concatenate, zip(*lot)), buckets)
+                lot, held = [], 0
+        if held:
+            yield from _packed_lot(*map(np.concatenate, zip(*lot)), buckets)
+        shared.release_memory()
+
+    return run
+
+
+def _shared_rows(parts: list[tuple[bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The rows of a bucket's keys that several items share. parts: (led in their lots, rows of k, h, x)."""
+    if not parts:
+        return
+    led = np.concatenate([np.full(len(rows), lot_led) for lot_led, rows in parts])
+    rows = np.concatenate([rows for _, rows in parts])
+    order = np.argsort(rows[:, 0])
+    k = rows[order, 0]
+    same = k[1:] == k[:-1]
+    order = order[np.append(same, False) | np.append(False, same)]
+    if len(order):
+        k, h, x, led, first, size = _grouped(rows[order, 0], rows[order, 1], rows[order, 2], led[order])
+        more = (size > 2) | np.logical_or.reduceat(led, first)
+        rows, lead = np.repeat(size > 1, size), np.repeat(first, size)
+        yield _rows(k[rows], h[rows], x[rows], h[lead][rows], x[lead][rows], np.repeat(more, size)[rows])
+
+
+def _rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c) for c in columns], names=["k", "h", "x", "lead_h", "lead_x", "more"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, now = [], None
     for b in batches:
-        if not b.num_rows:
-            continue
-        k, h, x = (b.column(n).to_numpy() for n in range(3))
-        first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        size = np.diff(first, append=len(k))
-        lead_h, lead_x = h[first], x[first]
-        row = lambda i: (int(k[i]), int(h[i]), int(x[i]))
-        head = head or row(0)
-        on = last is not None and k[0] == last[0]
-        if on:
-            lead_h[0], lead_x[0] = last[1:]
-        lead = np.repeat(lead_h, size)
-        other = h != lead
-        many = np.logical_or.reduceat(other, first)
-        third = np.minimum.reduceat(np.where(other, h, high), first) < np.maximum.reduceat(np.where(other, h, low), first)
-        third[[0, -1]] = True  # such a key may go on in another batch or partition
-        if on and many[0] and alone:
-            yield one(last, False)
-        emit = other.copy()
-        begin = first[1:] if on else first  # of each shared key its first row, and all rows of other items
-        emit[begin[many[1:] if on else many]] = True
-        alone = not many[-1] and (alone if on and len(first) == 1 else True)
-        last = last if on and len(first) == 1 else row(int(first[-1]))
-        yield pa.record_batch([pa.array(v) for v in (k[emit], h[emit], x[emit], lead[emit], np.repeat(lead_x, size)[emit], np.repeat(third, size)[emit], np.zeros(int(emit.sum()), bool))], names=names)
-    for e in (head, last):
-        if e:
-            yield one(e, True)
+        for bucket, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if bucket != now:
+                yield from _shared_rows(parts)
+                parts, now = [], bucket
+            values = np.frombuffer(blob.as_buffer(), np.int64)
+            if kind == _DONE:
+                yield _rows(*values.reshape(-1, 5).T.copy(), np.ones(len(values) // 5, bool))
+            else:
+                parts.append((kind == _LEADS, values.reshape(-1, 3)))
+    yield from _shared_rows(parts)
+    shared.release_memory()
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(k, h, x) to (k, h, x, lead_h, lead_x, more) of the keys that several items h share; the lead is one of the key's items.
 
-    One exchange by ranges of (k, h), so that a key of any number of items is dealt over tasks. Each part of such a key has a
-    lead of its own, and the parts' leads are led by the least of them. An item may have several rows of a key. Where `more` is
-    false the key has the lead and one other item.
+    k is a key or an array of keys, hashes that are spread evenly. An item may have several rows of a key. Where `more` is false
+    the key has the lead and one other item. One exchange of packed keys: each task cuts its keys, in lots, by buckets of like size.
+    A key that many items of a lot have is led there, and its lead alone goes to the key's bucket, where the lots' leads
+    are led by the least of them: what a bucket holds of a key grows with the lots, whatever part of all items has the key.
     """
-    rows = keys.select("k", "h", "x").repartitionByRange("k", "h").sortWithinPartitions("k")
-    rows = shared.written(rows.mapInArrow(_runs, "k long, h long, x long, lead_h long, lead_x long, more boolean, edge boolean"), "keys-shared")
-    ends = rows.where("edge").select("k", "h", "x").distinct()
-    cut = ends.groupBy("k").agg(F.min(F.struct("h", "x")).alias("lead"), F.max("h").alias("most")).where("lead.h <> most")
-    cut = ends.join(cut, "k").select("k", "h", "x", F.col("lead.h").alias("lead_h"), F.col("lead.x").alias("lead_x"), F.lit(True).alias("more"))
-    return rows.where("not edge").drop("edge").union(cut)
+    if keys.schema["k"].dataType.typeName() != "array":
+        keys = keys.withColumn("k", F.array("k"))
+    total = keys.agg(F.sum(F.size("k"))).first()[0] or 0
+    packed = keys.select("h", "x", "k").mapInArrow(_packed(-(-total // BUCKET) or 1), "bucket int, kind int, blob binary")
+    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return shared.written(packed.mapInArrow(_unpacked, "k long, h long, x long, lead_h long, lead_x long, more boolean"), "keys-shared")
 
 
 def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[Column, Column], Column]) -> DataFrame:

@@ -20,6 +20,28 @@ def excluded(symbols: Column, exact: tuple[str, ...], prefixes: tuple[str, ...]
     return F.exists(F.transform(F.split(symbols, ","), lambda s: F.trim(s)), hit)
 
 
+def resolved(findings: DataFrame, categories: DataFrame) -> DataFrame:
+    """Findings whose `rule` may be a comma-separated chain of aliases, with the first alias that has a category, and that as `odc`.
+
+    categories (rule, odc); "--" and null are none. A finding without a category keeps its rule and gets "--".
+    """
+    chains = findings.select(F.col("rule").alias("chain")).distinct().select("chain", F.posexplode(F.split("chain", ",")).alias("place", "alias"))
+    known = categories.select(F.trim(categories.columns[0]).alias("alias"), F.trim(categories.columns[1]).alias("odc")).where("odc <> '--'")
+    first = chains.withColumn("alias", F.trim("alias")).join(known, "alias").groupBy("chain").agg(F.min(F.struct("place", "alias", "odc")).alias("first"))
+    out = findings.drop("odc").join(first, findings["rule"] == first["chain"], "left").drop("chain")
+    return out.withColumn("rule", F.coalesce("first.alias", "rule")).withColumn("odc", F.coalesce("first.odc", F.lit("--"))).drop("first")
+
+
+def countable(language: Column, rule: Column, odc: Column) -> Column:
+    """Whether a finding counts: its rule is not on its language's list and, in C, its category is not left out either.
+
+    Another or a null language has no list. A null rule is on none.
+    """
+    out = F.when(language == "python", excluded(rule, schemas.PYLINT_EXCLUDED)).when(language == "java", excluded(rule, schemas.PMD_EXCLUDED))
+    c = excluded(rule, schemas.CLANG_EXCLUDED, schemas.CLANG_EXCLUDED_PREFIXES)
+    return ~F.coalesce(out.when(language == "c", F.coalesce(c, F.lit(False)) | F.coalesce(odc.isin(*schemas.CLANG_EXCLUDED_ODC), F.lit(False))), F.lit(False))
+
+
 def defect_counts(keys: DataFrame, findings: DataFrame, key: list[str], categories: dict[str, str] = schemas.ODC_OF_LABEL, columns: tuple[str, ...] = schemas.ODC_COLUMNS) -> DataFrame:
     """A10: for each key the distinct (rule, odc, line) by category and in all; keys without findings get zeros.
 

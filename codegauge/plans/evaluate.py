@@ -75,11 +75,12 @@ def judged(x: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(tasks: DataFrame, references: DataFrame, predictions: DataFrame, defects: DataFrame | None = None, vulnerabilities: DataFrame | None = None) -> DataFrame:
+def evaluate(tasks: DataFrame, references: DataFrame, predictions: DataFrame, defects: DataFrame | None = None, vulnerabilities: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
     """One result row for each task.
 
-    defects (task_id, rule, odc, line) and vulnerabilities (task_id, cwes, severity, lines) are analyzer findings;
-    without them outcomes are null, `cwes` is empty and the analysis status is skipped. One pass of Python reads the code; joins
+    defects (task_id, rule, odc, line) and vulnerabilities (task_id, cwes, severity, lines) are analyzer findings. With
+    categories (rule, odc) the category of a finding is that of its first alias that has one. Findings that its language leaves
+    out do not count; without findings outcomes are null, `cwes` is empty and the analysis status is skipped. One pass of Python reads the code; joins
     on task_id, gates and statuses are the planner's.
     """
     validate(tasks, predictions)
@@ -89,7 +90,10 @@ def evaluate(tasks: DataFrame, references: DataFrame, predictions: DataFrame, de
     if defects is None or vulnerabilities is None:
         nulls = [F.lit(None).cast("long").alias(c) for c in schemas.OUTCOMES]
         return out.select("*", *nulls, F.array().cast("array<string>").alias("cwes"), F.lit("skipped").alias("static_analysis_status"))
-    d = findings.defect_counts(tasks, defects, ["task_id"])
+    if categories is not None:
+        defects = findings.resolved(defects, categories)
+    counted = defects.join(tasks.select("task_id", "language"), "task_id").where(findings.countable(F.col("language"), F.col("rule"), F.col("odc")))
+    d = findings.defect_counts(tasks, counted, ["task_id"])
     v = findings.vulnerability_counts(tasks, vulnerabilities, ["task_id"])
     return out.join(d, "task_id").join(v, "task_id").withColumn("static_analysis_status", F.lit("ok"))
 

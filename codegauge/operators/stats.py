@@ -22,22 +22,27 @@ def comparison_seed(baseline: str, language: str, metric: str, seed: int = schem
     return int.from_bytes(hashlib.sha256(f"{seed}:{baseline}:{language}:{metric}".encode()).digest()[:8], "big")
 
 
+#: Indexes, or counts of distinct values, that a resampler holds at a time.
+DRAWS = 1 << 24
+
+
 def bootstrap_interval(values: np.ndarray, counts: np.ndarray, seed: int, resamples: int = schemas.BOOTSTRAP_RESAMPLES) -> tuple[float, float]:
     """M3: 95% percentile interval of the mean of sum(counts) differences; NaN without values or resamples.
 
-    Up to 20 distinct values a resample is one multinomial draw over them; beyond, indexes are drawn, 250 resamples at a time.
+    Up to 20 distinct values a resample is one multinomial draw over them; beyond, indexes are drawn, at most 250 resamples and
+    DRAWS indexes at a time, which gives the same draws as all at once. A sum(counts) above DRAWS is drawn over the distinct
+    values again, in lots: the same distribution, in memory that grows with the distinct values alone.
     """
     n = int(counts.sum())
     if not n or resamples <= 0:
         return math.nan, math.nan
     rng = np.random.default_rng(seed)
-    if len(values) <= 20:
-        means = rng.multinomial(n, counts / n, size=resamples) @ values / n
+    if len(values) <= 20 or n > DRAWS:
+        lot = max(DRAWS // len(values), 1)
+        means = np.concatenate([rng.multinomial(n, counts / n, size=min(lot, left)) @ values / n for left in range(resamples, 0, -lot)])
     else:
-        flat, parts = np.repeat(values, counts), []
-        for left in range(resamples, 0, -250):
-            parts.append(flat[rng.integers(0, n, size=(min(250, left), n))].mean(axis=1))
-        means = np.concatenate(parts)
+        flat, lot = np.repeat(values, counts), max(min(250, DRAWS // n), 1)
+        means = np.concatenate([flat[rng.integers(0, n, size=(min(lot, left), n))].mean(axis=1) for left in range(resamples, 0, -lot)])
     low, high = np.percentile(means, [2.5, 97.5])
     return float(low), float(high)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, license_scan, line_dedup, packing, quality_rules, simhash_dedup, source_mix, token_files, toxicity, url_filter
+from . import knn, license_scan, line_dedup, merkle, minhash_dedup, packing, periodic_runs, quality_rules, simhash_dedup, source_mix, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("file_id").alias("doc_id"), "license", F.round("cosine", 6).alias("cosine"), F.col("source").alias("found"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    got = merkle.verified(docs, F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    return got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = docs.withColumns({"g": F.expr("h div 10"), "w": F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")}).withColumn("n", F.size("w"))
+    words = words.withColumns({"a": F.expr("g % n"), "p": F.expr("1 + (n - g % n) div (3 + g % 8)")})
+    again = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.element_at("w", (1 + F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    text = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text"))
+    got = periodic_runs.collapsed(words.select("doc_id", text.alias("text")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    start, length, period = -top["start"], top["length"], -top["period"]
+    return got.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_voronoi_knn, op2_source_mix, op3_simhash_dedup, op4_quality_rules, op5_url_filter, op6_line_dedup, op7_toxicity, op8_token_files, op9_packing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_voronoi_knn, op2_source_mix, op3_simhash_dedup, op4_quality_rules, op5_url_filter, op6_line_dedup, op7_toxicity, op8_token_files, op9_packing, op10_license_scan, op11_merkle_manifest, op12_minhash_dedup, op13_periodic_runs)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -126,7 +149,58 @@ def _sql10() -> str:
         select doc_id, license, cosine, case when license is not null then 'own' end as found from documents left join own using (doc_id)"""
 
 
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an expression's ASCII text, bit by bit."""
+    byte = "list_transform(string_split(%s, ''), lambda x: ascii(x)::bigint)" % text
+    shift = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {byte}), lambda c, b: {shift}), 4294967295)"
+
+
+def _sql11() -> str:
+    fields = lambda text: " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    # A tree's levels, and from the leaf up its proof and what a claim folds to.
+    up = """select g, l + 1, p // 3, sha256(string_agg(h, '' order by p)), (any_value(n) + 2) // 3 from {t} where n > 1 group by g, l, p // 3"""
+    step = """select f.g, f.l + 1, f.p // 3, f.d, f.c, f.s || coalesce((select string_agg(h, '' order by p) from {t} t where t.g = f.g and t.l = f.l and t.p // 3 = f.p // 3 and t.p <> f.p), ''),
+        sha256((select string_agg(case when t.p = f.p then f.x else h end, '' order by p) from {t} t where t.g = f.g and t.l = f.l and t.p // 3 = f.p // 3)), f.n from {f} f where f.l < f.n"""
+    return f"""with recursive d as (select doc_id, case when source is null then '' else '=' || source end as g, sha256({fields("text")}) as leaf,
+            sha256({fields(f"(case when {_crc32('doc_id::varchar')} % 2 = 0 then replace(text, chr(10), '') else text end)")}) as claim from documents),
+        o as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as p, count(*) over (partition by g) as n from d),
+        t(g, l, p, h, n) as (select g, 0, p, leaf, n from o union all ({up.format(t="t")})),
+        sub as (select g, l, h from t where n = 1), so as (select g, h, row_number() over (order by g) - 1 as p, count(*) over () as n from sub),
+        u(g, l, p, h, n) as (select '', 0, p, h, n from so union all ({up.format(t="u")})),
+        f(g, l, p, d, c, s, x, n) as (select o.g, 0, p, doc_id, leaf, '', claim, sub.l from o join sub using (g) union all ({step.format(t="t", f="f")})),
+        v(g, l, p, d, c, s, x, n) as (select '', 0, so.p, d, struct_pack(leaf := c, subroot := so.h), s, x, (select l from u where n = 1) from f join so using (g) where f.l = f.n union all ({step.format(t="u", f="v")}))
+        select d as doc_id, c.leaf as leaf, c.subroot as subroot, r.h as root, sha256(s) as proof_sha256, x as folded_root, x = r.h as verified from v, (select h from u where n = 1) r where v.l = v.n"""
+
+
+def _sql12() -> str:
+    n, least = minhash_dedup.SHINGLE, round(100 * minhash_dedup.SIMILARITY)
+    return f"""with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents),
+        s as (select distinct doc_id, array_to_string(w[i:i + {n - 1}], ' ') as g from w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) as t(i) where len(w) > 0),
+        c as (select doc_id, count(*) as n from s group by doc_id), l as (select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id < b.doc_id
+            join c x on x.doc_id = a.doc_id join c y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= {least} * (x.n + y.n - count(*))),
+        e as (select a, b from l union all select b, a from l), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+        k as (select a as doc_id, min(b) as m from r group by a)
+        select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id, doc_id = least(doc_id, coalesce(m, doc_id)) as kept from documents left join c using (doc_id) left join k using (doc_id)"""
+
+
+def _sql13() -> str:
+    """Equal words at each distance; as a period's run has four of them, a distance is a quarter of the words at most."""
+    return f"""with d as (select doc_id, {_crc32("doc_id::varchar")} as h, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+        m as (select doc_id, w, len(w) as n, h // 10 % len(w) as a, h % 10 = 0 as again, 1 + (len(w) - h // 10 % len(w)) // (3 + h // 10 % 8) as p from d where len(w) > 0),
+        t as (select doc_id, case when again then list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[1 + a + (i - a) % p] end) else w end as w from m),
+        o as (select doc_id, i - 1 as i, w[i] as x, len(w) as n from t, unnest(range(1, len(w) + 1)) as u(i)),
+        q as (select a.doc_id, a.i, b.i - a.i as p from o a join o b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+        g as (select doc_id, p, min(i) as start, count(*) + p as length from (select *, i - row_number() over (partition by doc_id, p order by i) as k from q) group by doc_id, p, k having count(*) >= 3 * p and count(*) + p >= 6),
+        r as (select doc_id, start, length, min(p) as period from g group by doc_id, start, length),
+        top as (select * from r qualify row_number() over (partition by doc_id order by length desc, start, period) = 1),
+        s as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from r group by doc_id),
+        k as (select doc_id, string_agg(x, ' ' order by i) as words from o where not exists (select 1 from r where r.doc_id = o.doc_id and o.i >= r.start + r.period and o.i < r.start + r.length) group by doc_id)
+        select d.doc_id, coalesce(n_runs, 0) as n_runs, start, length::bigint as length, period, (1000 * length // period)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+        from d left join s using (doc_id) left join top using (doc_id) left join k using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are held against brute force by the tests."""
-    made = {"op1_voronoi_knn": _sql1, "op4_quality_rules": _sql4, "op5_url_filter": _sql5, "op10_license_scan": _sql10}
+    made = {"op1_voronoi_knn": _sql1, "op4_quality_rules": _sql4, "op5_url_filter": _sql5, "op10_license_scan": _sql10, "op11_merkle_manifest": _sql11, "op12_minhash_dedup": _sql12, "op13_periodic_runs": _sql13}
     return {name: " ".join(f().split()) for name, f in made.items()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 
 def kth_largest(values: list[Column], k: int) -> Column:
     """The k-th largest of a row's values."""
@@ -21,14 +23,28 @@ def occurrence(keys: list[str], order: list) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
+def before(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum `name` of a group's values in the rows before each one; (group, order) tells rows apart.
+
+    No task holds a group: rows are dealt to ranges of (group, order), which are written; sums of a range's rows are added
+    up over ranges, a row for each range and group, and over rows inside each.
+    """
+    dealt = written(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    sums = written(sums.select(*group, "_range", F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_below")), "range-sums")
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    kept = dealt.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [*group, "_range"])
+    return kept.withColumn(name, F.col(name) + F.col("_below")).drop("_range", "_below")
+
+
 def average_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Distinct values of each group with count n and the mean rank of their rows.
 
-    Rows are counted by value first, so the window runs over distinct values, not rows.
+    Rows are counted by value first, and counts are added up over ranges of values, so no task holds a group.
     """
     counts = df.groupBy(*group, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
+    return before(counts, group, [value], "n", "rank").withColumn("rank", F.col("rank") + (F.col("n") + 1) / 2)
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", family: list[str] = ()) -> DataFrame:

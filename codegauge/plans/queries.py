@@ -566,6 +566,16 @@ def pairwise_statistics(spark, sf):
     return stats.pairwise(ev)
 
 
+@query("""with e as (select event_type as a, value as v from events where value is not null and not isnan(value)), m as (select a, count(*) as n, avg(v) as m, var_samp(v) as s from e group by a),
+    p as (select x.a as f1, y.a as f2, x.n as n1, y.n as n2, (x.m - y.m) / sqrt(x.s / x.n + y.s / y.n) as t from m x join m y on x.a < y.a),
+    r as (select f1, f2, a, rank() over (partition by f1, f2 order by v) + (count(*) over (partition by f1, f2, v) - 1) / 2.0 as r from p join e on a in (f1, f2)),
+    u as (select f1, f2, sum(r) filter (a = f1) as r1 from r group by f1, f2)
+    select 'value' as metric, f1, f2, n1, n2, round(t, 6) as t, r1 - n1 * (n1 + 1) / 2.0 as u, round(2 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n2) - 1, 9) as delta from p join u using (f1, f2)""")
+def pairwise_tests(spark, sf):
+    ev = t(spark, sf, "events").select(F.lit("value").alias("metric"), F.col("event_type").alias("author"), "value")
+    return stats.pairwise(ev, resamples=0).select("metric", "f1", "f2", "n1", "n2", F.round("t", 6).alias("t"), "u", F.round("delta", 9).alias("delta"))
+
+
 @query()
 def seeded_sample(spark, sf):
     return windows.seeded_sample(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 20, 7, ["lang"])
@@ -584,6 +594,32 @@ def naturalness(spark, sf):
     return ngram.score(t(spark, sf, "benchmark").select(F.col("item_id").alias("sample_idx"), words(F.col("text")).alias("tokens")), ngram.train(raw, 3))
 
 
+_FOLDS = 5
+
+
+@query("""with d as (select source as author, doc_id % 5 as fold, list_concat(['<s>'], list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), ['</s>']) as t from documents where text is not null),
+    g as (select author, fold, k, t[e - k + 1:e] as gram from d, unnest(range(1, len(t) + 1)) as a(e), unnest([1, 2, 3]) as b(k) where k <= e),
+    n as (select author, f, k, gram, count(*) as n from g, unnest(range(5)) as h(f) where fold <> f group by author, f, k, gram),
+    l as (select 'top' as kind, * from n where k > 1 union all select 'low', * from n where k < 3 and gram[1] = '<s>' union all select 'low', author, f, k - 1, gram[2:], count(*) from n where k > 1 and gram[2] <> '<s>' group by author, f, k, gram[2:])
+    select kind, author, k, f as fold, count(*) as grams, sum(n)::bigint as total, count(*) filter (n = 1) as t1, count(*) filter (n = 2) as t2, count(*) filter (n = 3) as t3, count(*) filter (n = 4) as t4
+    from l where gram <> ['<s>'] group by kind, author, k, f""")
+def ngram_fold_counts(spark, sf):
+    """What is left of each source's n-gram counts when a fold is held out."""
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    docs = t(spark, sf, "documents").where("text is not null").select(F.col("source").alias("author"), (F.col("doc_id") % _FOLDS).cast("int").alias("fold"), words.alias("tokens"))
+    levels = ngram.fold_levels(ngram.fold_counts(docs, 3, _FOLDS), 3, _FOLDS)
+    rows = ngram.fold_statistics(levels, _FOLDS, ["k"]).select("kind", "author", "k", F.posexplode("by_fold").alias("fold", "c"))
+    return rows.where("c.grams > 0").select("kind", "author", "k", "fold", "c.*")
+
+
+@query()
+def naturalness_grid(spark, sf):
+    """Cross-entropy of each role's turns under each role's models of two to four words, a fifth of the conversations held out."""
+    turns = t(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sample_idx"), F.col("role").alias("author"), F.pmod(F.xxhash64("conv_id"), F.lit(_FOLDS)).cast("int").alias("fold"), text.split_words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
+    scores = ngram.grid(turns, [2, 3, 4], _FOLDS)
+    return scores.groupBy("train_author", "author", "order", "fold").agg(F.count("*").alias("samples"), F.sum("tokens").alias("tokens"), F.avg("cross_entropy_bits").alias("cross_entropy_bits"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """documents with labels, token facts, a status cascade, and rates by language."""
     docs = labelled(spark, sf, "left").withColumn("n", F.size(text.tokens(F.col("text"))))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from . import contracts
+from ..sources.store import written
+from . import contracts, windows
 
 
 def with_predictions(tasks: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -74,16 +80,102 @@ def java_files(snippets: DataFrame, overrides: DataFrame | None = None) -> DataF
     return files.join(first.select("author", "file"), ["author", "file"], "left_anti").select("author", "idx", "file").unionByName(first)
 
 
+class _Open:
+    """Spans that are open at a point of a sweep by start, but for those that another one outdoes.
+
+    Of two spans that reach as far as an end, the narrower one, then the one of lower idx, is the parent. So a span is of no more use once one
+    that reaches at least as far is preferred to it: what is left has rising ends and is ever less preferred.
+    """
+
+    def __init__(self) -> None:
+        self.ends: list = []
+        self.spans: list[tuple] = []  # (width, idx, start, end)
+
+    def parent(self, end):
+        at = bisect_left(self.ends, end)
+        return self.spans[at][1] if at < len(self.ends) else None
+
+    def add(self, start, end, idx) -> None:
+        span = (end - start, idx, start, end)
+        to = bisect_right(self.ends, end)
+        if to < len(self.ends) and self.spans[to][:2] < span[:2]:
+            return
+        at = to
+        while at and self.spans[at - 1][:2] > span[:2]:
+            at -= 1
+        if at and self.ends[at - 1] == end:
+            return
+        self.ends[at:to], self.spans[at:to] = [end], [span]
+
+    def close(self, start) -> None:
+        """Spans that end before start hold nothing that starts there."""
+        if self.ends and self.ends[0] < start:
+            at = bisect_left(self.ends, start)
+            del self.ends[:at], self.spans[:at]
+
+
+def _swept(rows: DataFrame, file: str, left_open: bool) -> DataFrame:
+    """Spans (file, part, start, end, idx, carried) in order of start, the wider ones first: each one's parent, or the spans left open by each part."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spans = None, _Open()
+
+        def rest() -> list[tuple]:
+            return [(*now, start, end, idx) for _, idx, start, end in spans.spans] if left_open and now is not None else []
+
+        for b in batches:
+            out = []
+            for f, part, start, end, idx, carried in zip(*(b.column(c).to_pylist() for c in (file, "part", "start", "end", "idx", "carried"))):
+                if (f, part) != now:
+                    out += rest()
+                    now, spans = (f, part), _Open()
+                spans.close(start)
+                if not left_open and not carried:
+                    out.append((f, part, start, end, spans.parent(end)))
+                spans.add(start, end, idx)
+            if out:
+                yield batch(out)
+        if last := rest():
+            yield batch(last)
+
+    names = [file, "part", "start", "end", "idx" if left_open else "parent"]
+    types = [rows.schema[c].dataType for c in (file, "part", "start", "end", "idx")]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), arrow)], names=names)
+
+    arrow = [to_arrow_type(t) for t in types]
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {kinds['idx' if n == 'parent' else n]}" for n in names))
+
+
 def parents(spans: DataFrame, file: str = "row_id") -> DataFrame:
     """For spans (file, idx, start, end) the smallest strictly containing span of the file, ties to the lowest idx.
 
-    A range self-join inside a file. Spans are first counted by (start, end) so that equal spans meet once.
+    One sweep over the spans in order of start, with the spans that are open. Spans are counted by (start, end) first, so that equal ones
+    meet once. They are dealt to ranges of (file, start): a file of many spans lies in several, and each takes over
+    what the ranges before it leave open.
     """
-    one = spans.groupBy(file, "start", "end").agg(F.min("idx").alias("low_idx"))
-    outer = one.select(F.col(file).alias("p_file"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.col("low_idx").alias("p_idx"))
-    holds = (F.col("p_file") == F.col(file)) & (F.col("p_start") <= F.col("start")) & (F.col("p_end") >= F.col("end")) & ((F.col("p_start") < F.col("start")) | (F.col("p_end") > F.col("end")))
-    best = one.drop("low_idx").join(outer, holds).groupBy(file, "start", "end").agg(F.min(F.struct((F.col("p_end") - F.col("p_start")).alias("w"), F.col("p_idx"))).alias("p"))
-    return spans.join(best.select(file, "start", "end", F.col("p.p_idx").alias("parent")), [file, "start", "end"], "left")
+    one = spans.groupBy(file, "start", "end").agg(F.min("idx").alias("idx"))
+    order = [file, F.col("start"), F.col("end").desc()]
+    dealt = written(one.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part")), "spans")
+    parts = dealt.groupBy(file, "part").agg(F.min("start").alias("from"))
+    several = written(parts.withColumn("n", F.count("*").over(Window.partitionBy(file))).where("n > 1").drop("n"), "span-parts")
+    rows = dealt.withColumn("carried", F.lit(False))
+    if not several.isEmpty():
+        split = dealt.join(several.select(file, "part"), [file, "part"], "left_semi").withColumn("carried", F.lit(False))
+        left = _swept(split.repartition(file, "part").sortWithinPartitions(file, "part", "start", F.desc("end")), file, True)
+        later = several.select(file, F.col("part").alias("to"), "from")
+        carried = left.join(later, file).where((F.col("to") > F.col("part")) & (F.col("end") >= F.col("from")))
+        rows = rows.unionByName(carried.select(file, "start", "end", "idx", F.col("to").alias("part"), F.lit(True).alias("carried")))
+    best = _swept(rows.repartition(file, "part").sortWithinPartitions(file, "part", "start", F.desc("end")), file, False)
+    return spans.join(best.select(file, "start", "end", "parent"), [file, "start", "end"], "left")
+
+
+def primary(functions: DataFrame, keys: list[str], index: str = "function_index", order: list[str] = ()) -> DataFrame:
+    """Of each key the first row, in the given order, whose function index in its sample is 0; rows with a null key go."""
+    rows = functions.where(F.col(index) == 0).dropna(subset=keys)
+    return windows.keep_first(rows, keys, list(order) or keys)
 
 
 def author_pairs(values: DataFrame, key: list[str], author: str = "author", value: str = "value") -> DataFrame:

@@ -29,12 +29,12 @@ LOT, HELD = 512, 1 << 20
 def minima(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """The least of each of n hashes: the upper half of a * x + b modulo 2 ** 64, x being 32 bits of a shingle's hash."""
     rng = np.random.default_rng(11)
-    a, b = rng.integers(0, 1 << 64, (2, n), np.uint64)
+    a, b = rng.integers(0, 1 << 64, (2, n, 1), np.uint64)
     out = np.full(n, np.iinfo(np.uint64).max)
-    for k in range(0, len(shingles), 2048):  # stays in the processor's cache
-        x = shingles[k : k + 2048] >> np.uint64(32)
-        for i in range(n):
-            out[i] = min(out[i], (x * a[i] + b[i]).min())
+    for k in range(0, len(shingles), 512):  # stays in the processor's cache
+        values = (shingles[k : k + 512] >> np.uint64(32)) * a
+        values += b
+        np.minimum(out, values.min(axis=1), out=out)
     return out >> np.uint64(32)
 
 
@@ -110,9 +110,12 @@ def _forest(rows: list[dict], item: str, linked: Callable[[int, int], bool] | No
     once = np.triu(np.ones((len(rows), len(rows)), bool), 1)
     if lot.min() < lot.max():  # members of one lot meet in a block of their own
         once &= lot[:, None] != lot
-    same = np.zeros(once.shape, np.uint8)
-    for k in range(sketch.shape[1]):
-        same += sketch[:, k, None] == sketch[:, k]
+    if len(rows) <= 16:
+        same = (sketch[:, None] == sketch).sum(axis=2)
+    else:
+        same = np.zeros(once.shape, np.uint8)
+        for k in range(sketch.shape[1]):
+            same += sketch[:, k, None] == sketch[:, k]
     a, b = np.nonzero(once & (same >= AGREE))
     best = np.argsort(-same[a, b].astype(np.int64), kind="stable")
     root = list(range(len(rows)))

@@ -16,10 +16,12 @@ import tokenize
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import text
 
+# The words that open a control structure.
 CONTROL = {
     "python": {"if", "elif", "for", "while", "try", "except", "with", "match"},
     "java": {"if", "for", "while", "switch", "do", "try", "catch", "synchronized"},
@@ -308,6 +310,63 @@ def _balanced(flat: str) -> bool:
     return not stack
 
 
+def nloc(code: Column, language: str) -> Column:
+    """F17 as a Column, Arrow-batched."""
+
+    @F.pandas_udf("long")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda c: None if c is None else physical_nloc(c, language)).astype("Int64")
+
+    return run(code)
+
+
+def sample_nloc(rows: DataFrame, language: str, code: str = "code", name: str = "sample_nloc") -> DataFrame:
+    """Rows with the physical lines of their code, which must be some: none raises."""
+    n = nloc(F.col(code), language)
+    return rows.withColumn(name, n).withColumn(name, F.when(F.col(name) > 0, F.col(name)).otherwise(F.raise_error(F.lit("a sample without lines of code"))))
+
+
+RECORD = (
+    "function_uid string, function_index int, source_order int, short_name string, name string, container string, `start` int, `end` int, parent_index int, parent_uid string, depth int, sha256 string, "
+    "drop_reason string, detected int, computable int, nloc double, ccn double, parameter_count double, max_nesting_depth double, distinct_operators double, distinct_operands double, total_operators double, total_operands double, "
+    "halstead_volume double, halstead_difficulty double, halstead_effort double, maintainability_index double"
+)
+
+
+class _Functions:
+    """The table function behind `function_records`."""
+
+    def eval(self, row_id: str, field: str, language: str, code: str):
+        found = functions_of(code or "", language)
+        uid = lambda i: None if i is None else f"{row_id}:{field}:{i}"
+        extra = {"detected": len(found), "computable": sum(r["drop_reason"] is None for r in found)}
+        for r in found:
+            r = r | extra | {"function_uid": uid(r["function_index"]), "parent_uid": uid(r["parent_index"]), "short_name": re.split(r"::|\.", r["name"])[-1]}
+            yield tuple(r.get(c.split()[0].strip("`")) for c in RECORD.split(", "))
+
+
+def function_records(samples: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """A row for each function of samples (row_id, field, language, code), beside its sample's columns.
+
+    A lateral table function: functions come out as rows, not as an array that is exploded. function_uid is row_id:field:index and
+    parent_uid that of the smallest span that holds the function's; function_index is the scanner's order, source_order that of the text. Functions
+    that can not be measured have a drop_reason and no figures. Samples without functions give no row.
+    """
+    table = F.udtf(_Functions, returnType=RECORD, useArrow=True)
+    c = lambda n: F.col(n).outer()
+    return samples.lateralJoin(table(c(row_id).cast("string"), c("field"), c("language"), c("code")))
+
+
+def sample_summary(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each sample's functions: counts, and the uids and names in the scanner's order. A sample's functions are few."""
+    nested = F.col("parent_uid").isNotNull()
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("function_index", c))), lambda x: x[c])
+    return records.groupBy(*keys).agg(
+        F.count("*").alias("function_count_detected"), F.count_if(F.col("drop_reason").isNull()).alias("function_count_computable"), F.count_if(F.col("drop_reason").isNotNull()).alias("function_count_dropped"),
+        F.count_if(nested).alias("function_count_nested"), F.count_if(~nested).alias("function_count_outermost"), listed("function_uid").alias("function_uids"), listed("name").alias("function_names"),
+    )
+
+
 _FACTS = "parseable boolean, target_present boolean, arity_ok boolean, stub boolean, constant boolean, token_count long, ast_node_count long, statement_count long, failure string, empty boolean"
 
 

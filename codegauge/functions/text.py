@@ -178,3 +178,11 @@ def halstead(n1: Column, n2: Column, t1: Column, t2: Column) -> tuple[Column, Co
     volume = F.when(n1 + n2 > 0, (t1 + t2) * F.log2((n1 + n2).cast("double"))).otherwise(0.0)
     difficulty = F.when(n2 > 0, n1 / 2.0 * (t2 / n2)).otherwise(0.0)
     return volume, difficulty, volume * difficulty
+
+
+def field_spec(spec: str, languages: tuple[str, ...] = ("python", "java", "c")) -> tuple[str, str]:
+    """"field:language" to its two parts, the language in lower case; another form or language raises."""
+    field, colon, language = (x.strip() for x in spec.partition(":"))
+    if not colon or language.lower() not in languages:
+        raise ValueError(f"not field:language with a language of {', '.join(sorted(languages))}: {spec!r}")
+    return field, language.lower()

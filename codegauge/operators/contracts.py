@@ -56,6 +56,20 @@ def broken_sums(df: DataFrame, key: str, total: str, parts: tuple[str, ...]) ->
     return df.where(~F.col(total).eqNullSafe(sum((F.col(p) for p in parts), F.lit(0)))).select(key, total)
 
 
+#: What must hold between a row's counts.
+FUNCTION_COUNTS = {
+    "computable functions are among the detected": "0 <= function_count_computable and function_count_computable <= function_count_detected",
+    "dropped functions are the other detected ones": "function_count_dropped = function_count_detected - function_count_computable",
+}
+SEVERITIES = {"findings of high severity are among all": "0 <= vulns_high_sev and vulns_high_sev <= vulns_total"}
+
+
+def broken_rules(df: DataFrame, key: list[str], rules: dict[str, str]) -> DataFrame:
+    """(key, rule) for each rule, an SQL condition by name, that does not hold in a row; null does not hold. One pass for all rules."""
+    broken = F.array(*[F.when(~F.coalesce(F.expr(condition), F.lit(False)), F.lit(name)) for name, condition in rules.items()])
+    return df.select(*key, F.explode(F.filter(broken, lambda r: r.isNotNull())).alias("rule"))
+
+
 def stale_mapping(findings: DataFrame, current: DataFrame) -> DataFrame:
     """(rule, odc) stored with findings that the current map (rule, odc) gives another category."""
     now = current.select("rule", F.col("odc").alias("now"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -76,6 +76,22 @@ def study_report(findings: DataFrame, units: DataFrame, unit: str) -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("defects"), F.count("*").alias("defective")).crossJoin(total).select("defects", "defective", F.try_divide("defective", "units").alias("share"), F.try_divide("defects", "defective").alias("mean_per_defective"))  # one row each
 
 
+def defect_study(findings: DataFrame, category: str, rule: str, priority: str, top: int = 10) -> DataFrame:
+    """(section, category, name, n, place): findings in all, by category, rule, rule within category and priority.
+
+    One aggregation over all groupings; of rules, in all and within each category, the `top` most frequent are given (ties by name).
+    Names are strings; null is a value of its own.
+    """
+    c, r, p = F.col(category), F.col(rule), F.col(priority)
+    counted = findings.groupingSets([[], [c], [r], [c, r], [p]], c, r, p).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    g = F.col("g")
+    section = F.when(g == 7, "total").when(g == 3, "category").when(g == 5, "rule").when(g == 1, "rule_in_category").otherwise("priority")
+    name = F.when(g == 3, c.cast("string")).when(g.isin(5, 1), r.cast("string")).when(g == 6, p.cast("string"))
+    rows = counted.select(section.alias("section"), F.when(g == 1, c.cast("string")).alias("category"), name.alias("name"), "n")
+    place = F.row_number().over(Window.partitionBy("section", "category").orderBy(F.desc("n"), "name"))
+    return rows.withColumn("place", place).where(~F.col("section").startswith("rule") | (F.col("place") <= top))
+
+
 def categories_per_unit(findings: DataFrame, unit: str, category: str) -> DataFrame:
     """How many units have so many distinct categories."""
     return findings.groupBy(unit).agg(F.countDistinct(category).alias("categories")).groupBy("categories").agg(F.count("*").alias("units"))

@@ -107,3 +107,15 @@ def distribution(column: str) -> list[Column]:
     """Count, mean, least, median, 90th percentile, greatest, sample deviation."""
     c = F.col(column)
     return [F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.9)).alias("p90"), F.max(c).alias("greatest"), F.stddev_samp(c).alias("deviation")]
+
+
+def accounting(detected: Column) -> list[Column]:
+    """Of samples with so many functions (null: none): seen, empty, with several, with one, and functions in all."""
+    n = F.coalesce(detected, F.lit(0))
+    return [F.count(F.lit(1)).alias("seen"), F.count_if(n == 0).alias("empty"), F.count_if(n > 1).alias("multiple"), F.count_if(n == 1).alias("single"), F.sum(n).cast("long").alias("detected")]
+
+
+def degenerate(nloc: Column, operators: Column, operands: Column) -> Column:
+    """Functions that the older per-function analysis leaves out: no lines, no operators or no operands; what is missing counts as none."""
+    none = lambda c: F.coalesce(c, F.lit(0)) <= 0
+    return none(nloc) | none(operators) | none(operands)

@@ -58,6 +58,18 @@ def first_alias(symbols, mapping: dict[str, str]):
     return alias, F.when(alias.isNotNull(), F.try_element_at(table, alias))
 
 
+def attach_code(selected: DataFrame, dataset: DataFrame, fields: dict[str, str], key: str = "hm_index") -> DataFrame:
+    """Selected (key, author, ...) with the code that the dataset's row of the key has in the author's field; null is no code.
+
+    Every selected row must find its dataset row: one that does not raises in the join's own pass, so nothing is read twice.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("author"), F.coalesce(F.col(c), F.lit("")).alias("code")) for a, c in fields.items()])).alias("x")
+    long = dataset.join(selected.select(key).distinct(), key, "left_semi").select(key, cells).select(key, "x.*")
+    joined = selected.join(long, [key, "author"], "left")
+    missing = F.raise_error(F.concat(F.lit("no dataset row for "), F.col(key).cast("string"), F.lit(", "), F.coalesce("author", F.lit("null"))))
+    return joined.withColumn("code", F.coalesce("code", missing))
+
+
 def by_path_ordinal(paths: DataFrame, keys: DataFrame, path: str = "path", extension: str = r"(?:py|java|c)") -> DataFrame:
     """Paths ending in _<n>.<extension> to keys (key, idx): n counts from 1, idx from 0. Others get a null key."""
     n = F.regexp_extract(path, rf"_(\d+)\.{extension}$", 1)

@@ -104,4 +104,5 @@ def metrics_table(complexity: DataFrame, defects: DataFrame, vulnerabilities: Da
     rows = named.join(finite, key).join(defects.select(*key, "defects_total", *schemas.ODC_COLUMNS), key).join(vulnerabilities.select(*key, "vulns_total", "vulns_high_sev"), key)
     contracts.enforce(contracts.outside(rows, "hm_index", ("nloc", "ccn"), ("halstead_v", "mi")), "values out of range")
     contracts.enforce(contracts.broken_sums(rows, "hm_index", "defects_total", schemas.ODC_COLUMNS), "categories do not add up")
+    contracts.enforce(contracts.broken_rules(rows, key, contracts.SEVERITIES), "counts do not fit")
     return rows.select([f.name for f in schemas.METRICS_LONG.fields])

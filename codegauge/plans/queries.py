@@ -6,35 +6,16 @@ Every query reads its whole tables.
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import contracts, findings, gates, joins, ngram, stats, windows
+from ..operators import contracts, findings, gates, joins, ngram, sets, stats, windows
+from .registry import ORACLE, QUERIES, query, t  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 TYPES = ("click", "error", "purchase", "signup", "view")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = " ".join(sql.split())
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def labelled(spark: SparkSession, sf: str, how: str = "inner") -> DataFrame:
     return t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", how)
 
@@ -281,12 +262,7 @@ def paired_delta(spark, sf):
 @query("select a, n from (select 'both' as a, count(*) as n from (select o_orderkey from orders intersect select l_orderkey from lineitem) union all select 'either', count(*) from (select o_orderkey from orders union select l_orderkey from lineitem) union all select 'orders_only', count(*) from (select o_orderkey from orders except select l_orderkey from lineitem))")
 def split_sets(spark, sf):
     o, li = t(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"))
-    sets = {"both": o.intersect(li), "either": o.union(li).distinct(), "orders_only": o.exceptAll(o.join(li, "k", "left_semi")).distinct()}
-    out = None
-    for name, d in sets.items():
-        part = d.agg(F.count("*").alias("n")).select(F.lit(name).alias("a"), "n")
-        out = part if out is None else out.union(part)
-    return out
+    return sets.sizes(o, li, ["k"], {"both": "both", "either": "either", "orders_only": "left"}).select(F.col("name").alias("a"), "n")
 
 
 # Summaries
@@ -301,9 +277,7 @@ def five_way_summary(spark, sf):
 @query("select o_orderpriority, count(*) as seen, count(*) filter (items is null) as empty, count(*) filter (items > 1) as multiple, count(*) filter (items = 1) as single, coalesce(sum(items), 0)::bigint as detected from orders left join (select l_orderkey, count(*) as items from lineitem group by 1) on l_orderkey = o_orderkey group by 1")
 def count_accounting(spark, sf):
     items = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("items"))
-    x = t(spark, sf, "orders").join(items, "o_orderkey", "left")
-    i = F.col("items")
-    return x.groupBy("o_orderpriority").agg(F.count("*").alias("seen"), F.count_if(i.isNull()).alias("empty"), F.count_if(i > 1).alias("multiple"), F.count_if(i == 1).alias("single"), F.coalesce(F.sum(i), F.lit(0)).alias("detected"))
+    return t(spark, sf, "orders").join(items, "o_orderkey", "left").groupBy("o_orderpriority").agg(*gates.accounting(F.col("items")))
 
 
 @query("""select coalesce(event_type, 'ALL') as scope, count(value) as n, round(avg(value), 6) as mean, min(value) as least, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.9), 6) as p90,
@@ -530,8 +504,7 @@ def file_names(spark, sf):
 
 @query("select l_orderkey, string_agg(s, ',' order by s) as merged from (select distinct l_orderkey, unnest([l_returnflag, l_linestatus]) as s from lineitem) group by 1")
 def merged_sets(spark, sf):
-    both = F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus"))
-    return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(both), ",").alias("merged"))
+    return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(sets.merged(F.array("l_returnflag", "l_linestatus")), ",").alias("merged"))
 
 
 _OVER = ", ".join(f"case when n_{a} > 12 then '{a}:' || n_{a} end" for a in TYPES)
@@ -625,3 +598,6 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     docs = labelled(spark, sf, "left").withColumn("n", F.size(text.tokens(F.col("text"))))
     status = gates.cascade([(F.col("n") == 0, "empty"), (F.col("n") < 20, "undersized"), (F.coalesce(F.col("quality"), F.lit(1)) == 0, "explicit_stub")], "nontrivial")
     return docs.withColumn("status", status).groupBy("lang").agg(F.count("*").alias("tasks"), gates.rate(F.col("status") == "nontrivial").alias("strict_rate"), F.avg("n").alias("token_count_mean"))
+
+
+from . import code_queries, study_queries  # noqa: E402, F401

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import gates, joins, stats
+from ..operators import gates, joins, stats, windows
+from ..sources import sinks
 
 #: Metrics that need analyzer outcomes; they are left out where any submission row has none.
 _OUTCOME_METRICS = tuple(n for n in gates.RATES if n.startswith(("defect_", "vulnerability_", "high_", "clean_")))
@@ -55,3 +56,29 @@ def security_report(findings: DataFrame, unit: str, most: int = 10) -> tuple[Dat
     """(one row of totals, the most frequent (cwe, severity))."""
     totals = findings.agg(F.countDistinct(unit).alias("vulnerable"), F.count("*").alias("issues"), F.countDistinct("cwe").alias("cwes"))
     return totals, findings.groupBy("cwe", "severity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cwe", "severity").limit(most)
+
+
+def worked_example(table: DataFrame, author: str = "human", *order: str) -> dict | None:
+    """The first of an author's rows with defects and vulnerabilities, else with either, else the first; null if it has none."""
+    some, more = F.col("defects_total") > 0, F.col("vulns_total") > 0
+    row = windows.first_by_priority(table.where(F.col("author") == author), [some & more, some | more, F.lit(True)], *(order or ("hm_index",))).first()
+    return None if row is None else row.asDict(recursive=True)
+
+
+def validated_table(table: DataFrame, path: str, language: str, dataset_rows: int, overwrite: bool = False) -> dict:
+    """Writes the metrics table and returns its validation report: by author rows, nulls of predictors and zeros of outcomes.
+
+    Nulls and zeros are counted while the table is written. The worked example is read from what was written.
+    """
+    authors, predictors = schemas.AUTHORS[language], tuple(f.name for f in schemas.METRICS_LONG.fields if f.name not in ("hm_index", "author", *schemas.OUTCOMES, *schemas.ODC_COLUMNS))
+    profile = sinks.write_profiled(table, path, "author", authors, predictors, tuple(schemas.OUTCOMES), overwrite)
+    by: dict = {}
+    for author, column, rows, nulls, zeros in profile:
+        a = by.setdefault(author, {"sample_rows": rows, "samples_missing": dataset_rows - rows, "predictor_nulls": {}, "outcome_zero_counts": {}})
+        if nulls is not None:
+            a["predictor_nulls"][column] = nulls
+        if zeros is not None:
+            a["outcome_zero_counts"][column] = zeros
+    if "other" in by:
+        raise ValueError("rows of other authors")
+    return {"language": language, "dataset_rows": dataset_rows, "authors": by, "worked_example": worked_example(table.sparkSession.read.parquet(path))}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import contracts
+from ..operators import contracts, windows
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -95,14 +95,14 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema="rule string, odc string").select(F.trim("rule").alias("rule"), F.coalesce(F.nullif(F.trim("odc"), F.lit("")), F.lit("--")).alias("odc"))
 
 
-def dataset_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(key, idx): idx counts the non-blank lines of one file from 0, densely.
+def with_index(found: DataFrame) -> DataFrame:
+    """lines' rows with idx, which counts them from 0, densely, in order of files and of places in them; no task holds a file."""
+    return windows.before(found.withColumn("one", F.lit(1)), [], ["file", "ordinal"], "one", "idx").drop("one")
 
-    Positions come from counts before each split, so no task holds the file.
-    """
-    rows = spark.read.text(path).where(F.trim("value") != "").rdd.zipWithIndex()
-    df = rows.map(lambda r: (r[0][0], r[1])).toDF("value string, idx long")
-    keys = df.select(F.get_json_object("value", f"$.{key}").alias("key"), "idx")
+
+def dataset_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, idx): idx counts the non-blank lines from 0, in order of file names and lines."""
+    keys = with_index(lines(spark, path).where(F.trim("value") != "")).select(F.get_json_object("value", f"$.{key}").alias("key"), F.col("idx").cast("long").alias("idx"))
     contracts.enforce(contracts.bad_keys(keys, "key"), "dataset keys")
     return keys
 

@@ -70,14 +70,35 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False) -> int:
     return seen.get["rows"]
 
 
+def write_profiled(df: DataFrame, path: str, by: str, groups: tuple[str, ...], nulls: tuple[str, ...] = (), zeros: tuple[str, ...] = (), overwrite: bool = False) -> list[tuple[str, str, int, int | None, int | None]]:
+    """Writes df as K5 does and returns (group, column, rows, nulls, zeros) of each group of `by`, counted while it is written.
+
+    Zeros are null for columns of `nulls` alone, nulls for columns of `zeros` alone. groups are few and known; other values of `by` are counted under "other".
+    """
+    columns = list(dict.fromkeys((*nulls, *zeros)))
+    named = {**{g: F.col(by).eqNullSafe(F.lit(g)) for g in groups}, "other": ~F.coalesce(F.col(by).isin(*groups), F.lit(False))}
+    counts = {}
+    for i, inside in enumerate(named.values()):
+        counts[f"n{i}"] = F.count_if(inside)
+        for j, c in enumerate(columns):
+            counts[f"n{i}_{j}"] = F.count_if(inside & F.col(c).isNull())
+            counts[f"z{i}_{j}"] = F.count_if(inside & (F.col(c) == 0))
+    seen = Observation()
+    write_table(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), path, overwrite)
+    got = seen.get
+    return [(g, c, got[f"n{i}"], got[f"n{i}_{j}"] if c in nulls else None, got[f"z{i}_{j}"] if c in zeros else None) for i, g in enumerate(named) for j, c in enumerate(columns) if g != "other" or got[f"n{i}"]]
+
+
 def write_by_author(df: DataFrame, path: str, author: str = "author", overwrite: bool = False) -> None:
     """K6: a folder for each author; authors without rows get none."""
     df.repartition(author, F.pmod(F.xxhash64(*[c for c in df.columns if c != author]), F.lit(8))).write.mode("overwrite" if overwrite else "errorifexists").partitionBy(author).json(path)
 
 
 def markdown(df: DataFrame, percents: tuple[str, ...] = (), most: int = 1000) -> str:
-    """K7: a small result as a table; shares in percent, an em dash for null."""
-    rows = df.limit(most).collect()
+    """K7: a small result as a table; shares in percent, an em dash for null. A result of more than `most` rows is no report and raises."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     show = lambda c, v: "—" if v is None else f"{100 * v:.1f}%" if c in percents else f"{v:.3f}" if isinstance(v, float) else str(v)
     head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join(show(c, r[c]) for c in df.columns) + " |" for r in rows]) + "\n"

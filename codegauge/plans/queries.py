@@ -571,11 +571,12 @@ _FOLDS = 5
 
 
 @query("""with d as (select source as author, doc_id % 5 as fold, list_concat(['<s>'], list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), ['</s>']) as t from documents where text is not null),
-    g as (select author, fold, k, t[e - k + 1:e] as gram from d, unnest(range(1, len(t) + 1)) as a(e), unnest([1, 2, 3]) as b(k) where k <= e),
-    n as (select author, f, k, gram, count(*) as n from g, unnest(range(5)) as h(f) where fold <> f group by author, f, k, gram),
-    l as (select 'top' as kind, * from n where k > 1 union all select 'low', * from n where k < 3 and gram[1] = '<s>' union all select 'low', author, f, k - 1, gram[2:], count(*) from n where k > 1 and gram[2] <> '<s>' group by author, f, k, gram[2:])
+    g as (select author, fold, k, array_to_string(t[e - k + 1:e], ' ') as gram, array_to_string(t[e - k + 2:e], ' ') as suffix, t[e - k + 1] = '<s>' as starts, t[e - k + 2] = '<s>' as suffix_starts from d, unnest(range(1, len(t) + 1)) as a(e), unnest([1, 2, 3]) as b(k) where k <= e),
+    c as (select author, k, gram, any_value(suffix) as suffix, any_value(starts) as starts, any_value(suffix_starts) as suffix_starts, [count(*) filter (fold <> 0), count(*) filter (fold <> 1), count(*) filter (fold <> 2), count(*) filter (fold <> 3), count(*) filter (fold <> 4)] as n from g group by author, k, gram),
+    n as (select author, f, k, suffix, starts, suffix_starts, n[f + 1] as n from c, unnest(range(5)) as h(f) where n[f + 1] > 0),
+    l as (select 'top' as kind, author, f, k, n from n where k > 1 union all select 'low', author, f, k, n from n where k = 2 and starts union all select 'low', author, f, k - 1, count(*) from n where k > 1 and not suffix_starts group by author, f, k, suffix)
     select kind, author, k, f as fold, count(*) as grams, sum(n)::bigint as total, count(*) filter (n = 1) as t1, count(*) filter (n = 2) as t2, count(*) filter (n = 3) as t3, count(*) filter (n = 4) as t4
-    from l where gram <> ['<s>'] group by kind, author, k, f""")
+    from l group by kind, author, k, f""")
 def ngram_fold_counts(spark, sf):
     """What is left of each source's n-gram counts when a fold is held out."""
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")

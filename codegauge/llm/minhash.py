@@ -141,22 +141,140 @@ def _rows(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in columns], names=["k", "h", "x", "lead_h", "lead_x", "more"])
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], rows: Callable[[list[tuple[bool, np.ndarray]]], Iterator[pa.RecordBatch]], done: Callable[[np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, now = [], None
     for b in batches:
         for bucket, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             if bucket != now:
-                yield from _shared_rows(parts)
+                yield from rows(parts)
                 parts, now = [], bucket
             values = np.frombuffer(blob.as_buffer(), np.int64)
             if kind == _DONE:
-                yield _rows(*values.reshape(-1, 5).T.copy(), np.ones(len(values) // 5, bool))
+                yield done(values.reshape(-1, 5))
             else:
                 parts.append((kind == _LEADS, values.reshape(-1, 3)))
-    yield from _shared_rows(parts)
+    yield from rows(parts)
     shared.release_memory()
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _read(batches, _shared_rows, lambda rows: _rows(*rows.T.copy(), np.ones(len(rows), bool)))
+
+
+def forest(near: np.ndarray, best: np.ndarray | None = None, linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (i, j), i < j, that are near and linked; those of low `best` first, none inside what is linked already."""
+    a, b = np.nonzero(near)
+    if best is not None:
+        order = np.argsort(best[a, b], kind="stable")
+        a, b = a[order], b[order]
+    root = list(range(len(near)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        if (p := find(x)) != (q := find(y)) and (linked is None or linked(x, y)):
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+#: Items of a group that one task compares with each other.
+TOGETHER = 512
+
+
+def _bucket_ties(likely: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: list[tuple[bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Ties between a bucket's items: a star for keys that are led in their lots or have very many items, else a forest of likely pairs."""
+    if not parts:
+        return
+    led = np.concatenate([np.full(len(rows), lot_led) for lot_led, rows in parts])
+    rows = np.concatenate([rows for _, rows in parts])
+    order = np.argsort(rows[:, 0])
+    same = rows[order[1:], 0] == rows[order[:-1], 0]
+    order = order[np.append(same, False) | np.append(False, same)]
+    if not len(order):
+        return
+    _, h, x, led, first, size = _grouped(rows[order, 0], rows[order, 1], rows[order, 2], led[order])
+    two = first[(size == 2)]
+    two = two[likely(x[two], x[two + 1])]
+    ties = [np.stack([h[two], h[two + 1]])]
+    star = np.logical_or.reduceat(led, first) | (size > TOGETHER)
+    for low, n, all_of_them in zip(first[size > 2].tolist(), size[size > 2].tolist(), star[size > 2].tolist()):
+        if all_of_them:
+            ties.append(np.stack([np.full(n - 1, h[low]), h[low + 1 : low + n]]))
+        elif links := forest(np.triu(likely(x[low : low + n, None], x[low : low + n]), 1)):
+            i, j = np.array(links).T + low
+            ties.append(np.stack([h[i], h[j]]))
+    a, b = np.concatenate(ties, axis=1)
+    yield _pairs_of(a, b)
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def ties(keys: DataFrame, likely: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b), a < b: of (k, h, x) pairs of items that share a key, such that likely items that share a key are tied together, if by others.
+
+    `likely` tells from what keys carry of two items (uint64) whether they may be similar. k, h and x are as for `shared_keys`. Of a key come fewer
+    ties than it has items. A key with more than TOGETHER items ties all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda x, y: likely(x.view(np.uint64), y.view(np.uint64))
+        yield from _read(batches, lambda parts: _bucket_ties(plain, parts), lambda rows: _pairs_of(rows[:, 1], rows[:, 3]))
+
+    return _exchanged(keys).mapInArrow(run, "a long, b long").where("a <> b")
+
+
+def in_blocks(members: DataFrame, group: str, item: str, lots: Column, links: Callable[[list[dict]], list[tuple]], kind: str, data: list[str]) -> DataFrame:
+    """(a, b) that `links` gives of the rows of each block; members: group, item and the columns of data.
+
+    A group is dealt to so many lots; a block is a lot by itself or two lots, whose members have another `lot`. Each pair of members meets once.
+    """
+    members = members.withColumn("lots", lots.cast("int"))
+    members = members.withColumn("lot", F.pmod(F.xxhash64(item, F.lit(7)), F.col("lots")).cast("int"))
+    lot = F.col("lot")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda k: F.struct(F.least(lot, k).alias("i"), F.greatest(lot, k).alias("j")))
+    members = members.select(group, item, "lot", F.explode(blocks).alias("block"), *data)
+    members = members.select(F.struct(group, "block.i", "block.j").alias("block"), item, "lot", *data).repartition("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if held and row["block"] != held[0]["block"]:
+                    yield from out(held)
+                    held = []
+                held.append(row)
+        yield from out(held)
+        shared.release_memory()
+
+    def out(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1 and (found := links(held)):
+            yield pa.record_batch([pa.array(x) for x in zip(*found)], names=["a", "b"])
+
+    return members.sortWithinPartitions("block").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def met(rows: list[dict]) -> np.ndarray:
+    """Which pairs (i, j), i < j, of a block's rows meet there: those of different lots, or all in a block of one lot."""
+    once = np.triu(np.ones((len(rows), len(rows)), bool), 1)
+    lot = np.array([r["lot"] for r in rows])
+    return once & (lot[:, None] != lot) if lot.min() < lot.max() else once
+
+
+def _exchanged(keys: DataFrame) -> DataFrame:
+    if keys.schema["k"].dataType.typeName() != "array":
+        keys = keys.withColumn("k", F.array("k"))
+    total = keys.agg(F.sum(F.size("k"))).first()[0] or 0
+    packed = keys.select("h", "x", "k").mapInArrow(_packed(-(-total // BUCKET) or 1), "bucket int, kind int, blob binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket")
+
+
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(k, h, x) to (k, h, x, lead_h, lead_x, more) of the keys that several items h share; the lead is one of the key's items.
 
@@ -165,12 +283,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     A key that many items of a lot have is led there, and its lead alone goes to the key's bucket, where the lots' leads
     are led by the least of them: what a bucket holds of a key grows with the lots, whatever part of all items has the key.
     """
-    if keys.schema["k"].dataType.typeName() != "array":
-        keys = keys.withColumn("k", F.array("k"))
-    total = keys.agg(F.sum(F.size("k"))).first()[0] or 0
-    packed = keys.select("h", "x", "k").mapInArrow(_packed(-(-total // BUCKET) or 1), "bucket int, kind int, blob binary")
-    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
-    return shared.written(packed.mapInArrow(_unpacked, "k long, h long, x long, lead_h long, lead_x long, more boolean"), "keys-shared")
+    return shared.written(_exchanged(keys).mapInArrow(_unpacked, "k long, h long, x long, lead_h long, lead_x long, more boolean"), "keys-shared")
 
 
 def linked(keys: DataFrame, verified: Callable[[DataFrame], DataFrame], likely: Callable[[Column, Column], Column]) -> DataFrame:

@@ -3,29 +3,47 @@
 Documents with equal sets of shingles are one node, so a group of copies makes no pairs. A set's signature has BANDS * ROWS least values
 of strongly universal hashes. Nodes that share a band's ROWS minima are candidates: a pair of similarity s is missed with probability
 (1 - s ** ROWS) ** BANDS, at 0.85 less than one in two million. Candidates' signatures are verified: in a band's group, each node is tied to others
-with which it agrees in AGREE minima or more, as a spanning forest of at most as many ties as nodes. What is tied together is a
+with which it agrees in about as many minima as similar sets do, as a spanning forest of at most as many ties as nodes. What is tied together is a
 family; in a family's blocks the whole sets are compared, and again a spanning forest of the links is what comes out. So no
 step gives more rows than there are nodes in its groups, and groups larger than LOT are dealt to several tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import near_dedup, shared
+from . import minhash, shared
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.85, 25, 5
-#: Minima of BANDS * ROWS in which similar sets agree: at 0.85 there are 106, with a deviation of 4; so few are found once in 10 ** 9.
-AGREE = 80
 #: Nodes of a group that one task compares with each other, and shingles of a family's nodes that it holds for that.
 LOT, HELD = 512, 1 << 20
 
 
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `shingle` words. Fewer words: one run. No words: none."""
+    import xxhash
+
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*[words[k:] for k in range(shingle)])) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least so much."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
 def minima(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
     """The least of each of n hashes: the upper half of a * x + b modulo 2 ** 64, x being 32 bits of a shingle's hash."""
     rng = np.random.default_rng(11)
@@ -55,7 +73,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for t in b.column(2):
-                s = near_dedup.shingles(t.as_py(), shingle)
+                s = shingles(t.as_py(), shingle)
                 if not len(s):
                     rows.append((0, None, None, None, None))
                     continue
@@ -74,67 +92,32 @@ def _at() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _blocks(lots: Column, lot: Column) -> Column:
-    """The blocks (i, j), i <= j, that a member of a lot takes part in."""
-    return F.transform(F.sequence(F.lit(0), lots - 1), lambda k: F.struct(F.least(lot, k).alias("i"), F.greatest(lot, k).alias("j")))
-
+def _agreeing(rows: list[dict]) -> np.ndarray:
+    """In how many minima each two rows' signatures agree, by one byte of each."""
+    sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+    if len(rows) <= 16:
+        return (sketch[:, None] == sketch).sum(axis=2)
+    same = np.zeros((len(rows), len(rows)), np.int64)
+    for k in range(sketch.shape[1]):
+        same += sketch[:, k, None] == sketch[:, k]
+    return same
 
-def _in_blocks(members: DataFrame, group: str, item: str, lots: Column, forest: Callable[[list[dict]], list[tuple]], kind: str, data: list[str]) -> DataFrame:
-    """(a, b) of the forests of each block of each group; members: group, item and the columns of data. lots: how many a group is dealt to."""
-    members = members.withColumn("lots", lots.cast("int")).withColumn("lot", F.pmod(F.xxhash64(item, F.lit(7)), F.col("lots")).cast("int"))
-    members = members.select(group, item, "lot", F.explode(_blocks(F.col("lots"), F.col("lot"))).alias("block"), *data)
-    members = members.select(F.struct(group, "block.i", "block.j").alias("block"), item, "lot", *data).repartition("block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if held and row["block"] != held[0]["block"]:
-                    yield from out(held)
-                    held = []
-                held.append(row)
-        yield from out(held)
-        shared.release_memory()
+def _least_agreeing(similarity: float) -> int:
+    """Minima in which sets so similar agree but once in a thousand million: six and a half deviations below their mean."""
+    n = BANDS * ROWS
+    return math.floor(n * similarity - 6.5 * math.sqrt(n * similarity * (1 - similarity)))
 
-    def out(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        if len(held) > 1 and (links := forest(held)):
-            yield pa.record_batch([pa.array(x) for x in zip(*links)], names=["a", "b"])
 
-    return members.sortWithinPartitions("block").mapInArrow(run, f"a {kind}, b {kind}")
+def _forest(rows: list[dict], item: str, least: int, linked: Callable[[int, int], bool] | None = None) -> list[tuple]:
+    """Links between the rows of a block that agree in so many minima, best first, without those inside what is linked already."""
+    same = _agreeing(rows)
+    return [(rows[x][item], rows[y][item]) for x, y in minhash.forest(minhash.met(rows) & (same >= least), -same, linked)]
 
 
-def _forest(rows: list[dict], item: str, linked: Callable[[int, int], bool] | None) -> list[tuple]:
-    """Links between the rows of a block that agree in AGREE minima, best first, without those inside what is linked already."""
-    sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-    lot = np.array([r["lot"] for r in rows])
-    once = np.triu(np.ones((len(rows), len(rows)), bool), 1)
-    if lot.min() < lot.max():  # members of one lot meet in a block of their own
-        once &= lot[:, None] != lot
-    if len(rows) <= 16:
-        same = (sketch[:, None] == sketch).sum(axis=2)
-    else:
-        same = np.zeros(once.shape, np.uint8)
-        for k in range(sketch.shape[1]):
-            same += sketch[:, k, None] == sketch[:, k]
-    a, b = np.nonzero(once & (same >= AGREE))
-    best = np.argsort(-same[a, b].astype(np.int64), kind="stable")
-    root = list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for x, y in zip(a[best].tolist(), b[best].tolist()):
-        if (p := find(x)) != (q := find(y)) and (linked is None or linked(x, y)):
-            root[p] = q
-            out.append((rows[x][item], rows[y][item]))
-    return out
-
-
-def families(nodes: DataFrame) -> DataFrame:
+def families(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h, family) of nodes (h, g, keys, sketch) that share a band with another and agree with some node of their family in their signatures."""
+    least = _least_agreeing(similarity)
     keyed = nodes.select("h", F.posexplode("keys").alias("band", "k"))
     shares = keyed.groupBy("band", "k").agg(F.count("*").alias("n"), F.min("h").alias("low")).where("n > 1")
     shares = shared.written(shares, "band-groups")
@@ -142,7 +125,7 @@ def families(nodes: DataFrame) -> DataFrame:
     members = shared.written(keyed.join(shares, ["band", "k"]), "band-members")
     few = members.where(F.col("n") <= LOT)
     few = few.join(nodes.select("h", "sketch"), "h").withColumn("key", F.struct("band", "k"))
-    ties = _in_blocks(few, "key", "h", F.lit(1), lambda rows: _forest(rows, "h", None), "long", ["sketch"])
+    ties = minhash.in_blocks(few, "key", "h", F.lit(1), lambda rows: _forest(rows, "h", least), "long", ["sketch"])
     ties = ties.union(members.where(F.col("n") > LOT).select(F.col("low").alias("a"), F.col("h").alias("b")))
     found = shared.written(shared.components(shared.written(ties.distinct(), "signature-ties")), "families").toDF("h", "family")
     shared.drop_written(shares, members)
@@ -151,7 +134,7 @@ def families(nodes: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) of nodes, as binary ids: a spanning forest of all pairs of sets that are similar."""
-    groups = families(nodes)
+    groups, least = families(nodes, similarity), _least_agreeing(similarity)
     sizes = groups.join(nodes.select("h", F.col("n_shingles").alias("n")), "h").groupBy("family").agg(F.ceil(F.greatest(F.count("*") / LOT, F.sum("n") / HELD)).alias("lots"))
     wanted = nodes.select("h", "g", "at", "sketch").join(groups.join(sizes, "family"), "h")
     texts = docs.select(_at().alias("at"), "text").join(shared.written(wanted, "family-members"), "at")
@@ -164,17 +147,17 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity:
             new = [n not in seen and not seen.add(n) for n in nodes]
             part = b.filter(pa.array(new, pa.bool_()))
             ids = [np.array(n, ">i8").tobytes() for n, first in zip(nodes, new) if first]
-            data = [near_dedup.shingles(t.as_py(), shingle).tobytes() for t in part.column(4)]
+            data = [shingles(t.as_py(), shingle).tobytes() for t in part.column(4)]
             yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), part.column(3), pa.array(data, pa.binary())], names=["family", "lots", "node", "sketch", "s"])
         shared.release_memory()
 
     def forest(rows: list[dict]) -> list[tuple]:
         rows = list({r["node"]: r for r in rows}.values())
         data = [np.frombuffer(r["s"], np.uint64) for r in rows]
-        return _forest(rows, "node", lambda x, y: near_dedup.similar(data[x], data[y], similarity))
+        return _forest(rows, "node", least, lambda x, y: similar(data[x], data[y], similarity))
 
     members = members.mapInArrow(sets, "family long, lots long, node binary, sketch binary, s binary")
-    return shared.written(_in_blocks(members, "family", "node", F.col("lots"), forest, "binary", ["sketch", "s"]), "minhash-links")
+    return shared.written(minhash.in_blocks(members, "family", "node", F.col("lots"), forest, "binary", ["sketch", "s"]), "minhash-links")
 
 
 def dedup_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -184,17 +167,43 @@ def dedup_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     included. Repeated rows and repeated ids each get a row. A null doc_id is never the least unless its whole group has
     none; then component_id is null, and its rows are kept. An empty table gives no rows.
     """
+    rows, named = named_sets(docs, shingle, similarity)
+    found = rows.select("doc_id", "n_shingles", "h", "g").join(named.drop("one"), ["h", "g"], "left")
+    found = found.withColumn("component_id", F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def named_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(signatures of docs, their sets): of each set (h, g) the least doc_id of its component, and `one`, the least `at` there."""
     rows = shared.written(signatures(docs, shingle), "minhash-signatures")
     nodes = rows.where("h is not null").groupBy("h", "g").agg(F.min("doc_id").alias("least_id"), F.min("at").alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = shared.written(nodes, "minhash-nodes")
     comps = shared.components(links(docs, nodes, shingle, similarity))
     part = lambda k: F.conv(F.hex(F.substring("node", k, 8)), 16, -10).cast("long")
     comps = shared.written(comps.select(part(1).alias("h"), part(9).alias("g"), "component"), "minhash-components")
-    linked = shared.written(nodes.select("h", "g", "least_id").join(comps, ["h", "g"]), "minhash-linked")
-    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(least, "component").select("h", "g", "component_id")
-    alone = nodes.join(comps, ["h", "g"], "left_anti").select("h", "g", F.col("least_id").alias("component_id"))
-    named = shared.written(named.union(alone), "minhash-names")
-    found = rows.select("doc_id", "n_shingles", "h", "g").join(named, ["h", "g"], "left")
-    found = found.withColumn("component_id", F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = shared.written(nodes.select("h", "g", "least_id", "at").join(comps, ["h", "g"]), "minhash-linked")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("at").alias("one"))
+    alone = nodes.join(comps, ["h", "g"], "left_anti").select("h", "g", F.col("least_id").alias("component_id"), F.col("at").alias("one"))
+    # Written, so that the join of rows with it may be split where one set has a great many of them.
+    named = shared.written(linked.join(least, "component").select("h", "g", "component_id", "one").union(alone), "minhash-names")
+    shared.drop_written(nodes, comps, linked)
+    return rows, named
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near copies left, all columns as they were: a row with the group's least doc_id.
+
+    Texts without words are one group. Rows that share a doc_id are one document: of them one stays. A group in which every doc_id is
+    null keeps one of its rows; other rows with a null doc_id go.
+    """
+    rows, named = named_sets(docs, shingle, similarity)
+    empty = rows.where("h is null").agg(F.min("doc_id").alias("component_id"), F.min("at").alias("one")).where("one is not null")
+    groups = shared.written(named.select("component_id", "one").union(empty), "near-groups")
+    shared.drop_written(rows, named)
+    k_id, k_n = shared.fresh(docs, "keeper", "copy")
+    kept = groups.where("component_id is not null").select(F.col("component_id").alias(k_id)).distinct()
+    alike = docs.join(kept, docs["doc_id"] == F.col(k_id), "left_semi")
+    alike = alike.withColumn(k_n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(k_n) == 1).drop(k_n)
+    bare = groups.where("component_id is null").select(F.col("one").alias(k_id)).distinct()
+    bare = docs.where("doc_id is null").withColumn(k_n, _at()).join(bare, F.col(k_n) == F.col(k_id), "left_semi").dropDuplicates([k_n]).drop(k_n)
+    return alike.unionByName(bare)

@@ -39,6 +39,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 with observed redirects: every third page leads to the next page's URL, and every fifth to that two further on."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    to = F.explode(F.array(F.when(F.col("page_id") % 3 == 0, F.col("page_id") + 1), F.when(F.col("page_id") % 5 == 0, F.col("page_id") + 2)))
+    hops = pages.select(F.col("url").alias("source_url"), to.alias("to")).join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("target_url")), "to")
+    return url_filter.judge(pages, redirects=hops.select("source_url", "target_url")).select("page_id", "rule", "verdict", "via")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.without_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")), whole=True)
@@ -89,7 +97,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_voronoi_knn, op2_source_mix, op3_simhash_dedup, op4_quality_rules, op5_url_filter, op6_line_dedup, op7_toxicity, op8_token_files, op9_packing, op10_license_scan, op11_merkle_manifest, op12_minhash_dedup, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_voronoi_knn, op2_source_mix, op3_simhash_dedup, op4_quality_rules, op5_url_filter, url_redirects, op6_line_dedup, op7_toxicity, op8_token_files, op9_packing, op10_license_scan, op11_merkle_manifest, op12_minhash_dedup, op13_periodic_runs)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -127,6 +135,16 @@ def _sql5() -> str:
         from (select page_id, url, substr(url, instr(url, '://') + 3) as rest from pages))"""
 
 
+def _sql5_redirects() -> str:
+    return f"""with recursive p as (select *, regexp_extract(substr(url, instr(url, '://') + 3), '^[^#]*') as n from ({_sql5()}) join (select page_id, url from pages) using (page_id)),
+        h as (select page_id, page_id + 1 as q from pages where page_id % 3 = 0 union all select page_id, page_id + 2 from pages where page_id % 5 = 0),
+        e as (select a.n as a, b.n as b from h join p a using (page_id) join p b on b.page_id = h.q), d as (select a, b from e union select b, a from e),
+        r(a, b) as (select a, b from d union select r.a, d.b from r join d on r.b = d.a),
+        v as (select r.a as n, bool_or(p.rule is not null and p.verdict = 'allow') as allowed, bool_or(p.rule is not null and p.verdict = 'block') as blocked from r join p on p.n = r.b group by r.a)
+        select page_id, rule, case when rule is not null then verdict when blocked and not allowed then 'block' else 'allow' end as verdict,
+            case when rule is not null then 'rule' when blocked and not allowed then 'component' else 'default' end as via from p left join v using (n)"""
+
+
 def _sql10() -> str:
     import math
     import re
@@ -202,5 +220,5 @@ def _sql13() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the operator; the others are held against brute force by the tests."""
-    made = {"op1_voronoi_knn": _sql1, "op4_quality_rules": _sql4, "op5_url_filter": _sql5, "op10_license_scan": _sql10, "op11_merkle_manifest": _sql11, "op12_minhash_dedup": _sql12, "op13_periodic_runs": _sql13}
+    made = {"op1_voronoi_knn": _sql1, "op4_quality_rules": _sql4, "op5_url_filter": _sql5, "url_redirects": _sql5_redirects, "op10_license_scan": _sql10, "op11_merkle_manifest": _sql11, "op12_minhash_dedup": _sql12, "op13_periodic_runs": _sql13}
     return {name: " ".join(f().split()) for name, f in made.items()}

@@ -69,7 +69,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    got = license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"), whole_lines=True)  # as its SQL has them
+    got = license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
     return got.select(F.col("file_id").alias("doc_id"), "license", F.round("cosine", 6).alias("cosine"), F.col("source").alias("found"))
 
 
@@ -155,15 +155,23 @@ def _sql10() -> str:
     for i, (name, text) in enumerate(license_scan.TEMPLATES):
         tf = Counter(re.findall(license_scan.TOKEN, text.lower()))
         norm = math.sqrt(sum((c * weight[w]) ** 2 for w, c in tf.items()))
-        rows += [f"({i}, '{name}', '{w}', {c * weight[w] / norm!r}::double)" for w, c in sorted(tf.items())]
+        rows += [f"({i}, '{name}', '{w}', {c * weight[w] / norm!r}::double, {int(w in license_scan.required(name, text))})" for w, c in sorted(tf.items())]
     words = ", ".join(f"('{w}', {x!r}::double)" for w, x in sorted(weight.items()))
-    header = license_scan.HEADER.removeprefix("(?i)")
-    return f"""with t(template, license, word, unit) as (values {", ".join(rows)}), i(word, idf) as (values {words}),
-        seg as (select distinct doc_id, l from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) where regexp_matches(l, '(?i){header}')),
+    header, mark = license_scan.HEADER.removeprefix("(?i)"), license_scan.COMMENT_MARK
+    word = license_scan.HEADER_WORD
+    cuts = ", ".join(f"array_to_string(w[greatest(i - {back}, 1):greatest(i - {back}, 1) + {n - 1}], ' ')" for back in (0, 3) for n in license_scan.WINDOWS)
+    return f"""with t(template, license, word, unit, need) as (values {", ".join(rows)}), i(word, idf) as (values {words}),
+        named as (select doc_id, text from documents where regexp_matches(text, '(?i){header}')),
+        tok as (select doc_id, regexp_extract_all(lower(regexp_replace(text, '{mark}', ' ', 'g')), '{license_scan.TOKEN}') as w from named),
+        seg as (select distinct doc_id, l from (select doc_id, unnest(string_split(text, chr(10))) as l from named) where regexp_matches(l, '(?i){header}')
+            union select doc_id, unnest([{cuts}]) from (select doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda k: regexp_matches(w[k], '{word}'))) as i from tok)),
         tf as (select doc_id, l, word, count(*) * coalesce(any_value(idf), {other!r}) as w from (select doc_id, l, unnest(regexp_extract_all(lower(l), '{license_scan.TOKEN}')) as word from seg) left join i using (word) group by 1, 2, 3),
-        nrm as (select doc_id, l, sqrt(sum(w * w)) as norm from tf group by 1, 2), dot as (select doc_id, l, template, license, sum(w * unit) as dot from tf join t using (word) group by 1, 2, 3, 4),
-        best as (select doc_id, license, dot / norm as cosine from (select *, row_number() over (partition by doc_id, l order by round(dot, 12) desc, template) as n from dot) join nrm using (doc_id, l) where n = 1),
-        own as (select doc_id, license, round(cosine, 6) as cosine from (select *, row_number() over (partition by doc_id order by round(cosine, 9) desc, license desc) as n from best where cosine >= {license_scan.THRESHOLD}) where n = 1)
+        nrm as (select doc_id, l, sqrt(sum(w * w)) as norm from tf group by 1, 2), n as (select template, sum(need) as needed from t group by 1),
+        dot as (select doc_id, l, license, round(max(dot), 12) as dot from (select doc_id, l, template, license, sum(w * unit) as dot, sum(need) as met from tf join t using (word) group by 1, 2, 3, 4) join n using (template) where met = needed group by 1, 2, 3),
+        best as (select doc_id, l, license, dot / norm as cosine, row_number() over (partition by doc_id, l order by dot desc, license) as r from dot join nrm using (doc_id, l)),
+        told as (select a.doc_id, a.license, a.cosine from best a left join best b on a.doc_id = b.doc_id and a.l = b.l and b.r = 2 where a.r = 1 and a.cosine - coalesce(b.cosine, -1) >= {license_scan.MARGIN} and a.cosine >= {license_scan.THRESHOLD - 1e-9}
+            union all select doc_id, license, 1.0 from (select doc_id, regexp_replace(regexp_replace(unnest(regexp_extract_all(text, '{license_scan.SPDX}', 1)), '[()]', '', 'g'), '(-only|-or-later|[+])($|[ \\t])', '\\2', 'g') as license from named) where license not in ('NONE', 'NOASSERTION')),
+        own as (select doc_id, license, round(cosine, 6) as cosine from (select *, row_number() over (partition by doc_id order by round(cosine, 9) desc, license) as n from told) where n = 1)
         select doc_id, license, cosine, case when license is not null then 'own' end as found from documents left join own using (doc_id)"""
 
 

@@ -108,7 +108,8 @@ def dedup_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dist
     fps = shared.written(fingerprints(docs, shingle, seed), "fps")
     nodes = shared.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fp-nodes")
     pairs = shared.written(links(nodes.select("fp"), distance), "fp-links")
-    comps = components_of(nodes, pairs)
+    # Written, so that both sides of the join have exchanges of their own and the rows of a frequent fingerprint may be split.
+    comps = shared.written(components_of(nodes, pairs), "fp-names")
     return fps.join(comps, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 

@@ -26,6 +26,8 @@ FIT_TOXIC, FIT_CLEAN = 1500, 3000
 #: A part needs so many documents of the sample and so many standard errors; the model has at most MAX_PARTS.
 MIN_DOCS, MIN_Z, MAX_PARTS = 6, 6.0, 20_000
 THRESHOLD = 0.7
+#: Letters from which a run counts as joined-up text, and is not remembered.
+LONG = 200
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -63,7 +65,10 @@ class Scorer:
         self.known: dict[str, float] = {}
 
     def _weigh(self, word: str) -> float:
-        w = self.known[word] = sum(map(self.weights.get, parts_of(word) & self.weights.keys())) if len(word) < 200 else 0.0
+        if len(word) >= LONG:  # as others, but with neither all its parts nor the word itself kept
+            w = f"<{word}>"
+            return sum(map(self.weights.get, {p for k in range(len(w) - 3) for n in (4, 5) if (p := w[k : k + n]) in self.weights} | ({w} & self.weights.keys())))
+        w = self.known[word] = sum(map(self.weights.get, parts_of(word) & self.weights.keys()))
         return w
 
     def __call__(self, text: str | None) -> tuple[list[tuple[int, int]], np.ndarray]:
@@ -87,7 +92,7 @@ def telling_parts(toxic: list[str], clean: list[str]) -> list[str]:
     Toxic documents are counted first; in clean ones only parts that enough of those have.
     """
     def parts(text: str) -> set[str]:
-        return {p for w in set(_WORD.findall(text.lower())) if len(w) < 200 for p in parts_of(w)}
+        return {p for w in set(_WORD.findall(text.lower())) for p in parts_of(w)}
 
     hits: Counter[str] = Counter()
     for text in toxic:
@@ -106,35 +111,55 @@ def telling_parts(toxic: list[str], clean: list[str]) -> list[str]:
     return [p for _, p in sorted(strong)[:MAX_PARTS]]
 
 
+class Bags:
+    """Labelled texts as sentences of numbered parts, with the noisy-or likelihood of weights and its gradient."""
+
+    def __init__(self, texts: list[str | None], labels: list[int], number: dict[str, int]):
+        self.y, self.parts = np.array(labels, np.int64), len(number)
+        known: dict[str, tuple[int, ...]] = {}
+        row, column, n_sent, at = [], [], [], 0
+        for text in texts:
+            bag = bag_of(text)
+            n_sent.append(max(1, len(bag)))
+            for k, words in enumerate(bag):
+                for w in words:
+                    if (got := known.get(w)) is None:
+                        got = known[w] = tuple(number[p] for p in parts_of(w) & number.keys())
+                    for c in got:
+                        row.append(at + k)
+                        column.append(c)
+            at += n_sent[-1]
+        self.row, self.column, n_sent = np.array(row, np.int64), np.array(column, np.int64), np.array(n_sent)
+        self.at, self.start, self.doc = at, np.cumsum(n_sent) - n_sent, np.repeat(np.arange(len(texts)), n_sent)
+        self.share = np.where(self.y == 1, 0.5 / max(1, (self.y == 1).sum()), 0.5 / max(1, (self.y == 0).sum()))
+
+    def _scores(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each sentence's score, and of each text the probability that no sentence offends."""
+        p = _sigmoid(bias + np.bincount(self.row, w[self.column], self.at))
+        return p, np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), self.start))
+
+    def likelihood(self, w: np.ndarray, bias: float) -> float:
+        """Mean log-likelihood, both labels weighing the same."""
+        _, none = self._scores(w, bias)
+        return float((self.share * np.where(self.y == 1, np.log(np.maximum(1 - none, 1e-300)), np.log(none))).sum())
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        p, none = self._scores(w, bias)
+        pull = np.where(self.y == 1, none / np.maximum(1 - none, 1e-6), -1.0) * self.share
+        dz = pull[self.doc] * p
+        return np.bincount(self.column, dz[self.row], self.parts), float(dz.sum())
+
+
 def fit(texts: list[str | None], labels: list[int], steps: int = 400, rate: float = 0.3, ridge: float = 3e-4) -> Model:
     """Adagrad on the mean noisy-or log-likelihood, both labels weighing the same."""
-    y = np.array(labels, np.int64)
-    if not len(y) or y.min() == y.max():
+    if not labels or min(labels) == max(labels):
         return {}, -12.0
     number = {p: i for i, p in enumerate(telling_parts(*([t or "" for t, l in zip(texts, labels) if l == k] for k in (1, 0))))}
-    known: dict[str, tuple[int, ...]] = {}
-    row, column, n_sent, at = [], [], [], 0
-    for text in texts:
-        bag = bag_of(text)
-        n_sent.append(max(1, len(bag)))
-        for k, words in enumerate(bag):
-            for w in words:
-                if (got := known.get(w)) is None:
-                    got = known[w] = tuple(number[p] for p in parts_of(w) & number.keys()) if len(w) < 200 else ()
-                for c in got:
-                    row.append(at + k)
-                    column.append(c)
-        at += n_sent[-1]
-    row, column, n_sent = np.array(row, np.int64), np.array(column, np.int64), np.array(n_sent)
-    start, doc = np.cumsum(n_sent) - n_sent, np.repeat(np.arange(len(texts)), n_sent)
-    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    bags = Bags(texts, labels, number)
     w, bias, g2, b2 = np.zeros(len(number)), -4.0, np.full(len(number), 1e-8), 1e-8
     for _ in range(steps):
-        p = _sigmoid(bias + np.bincount(row, w[column], at))
-        none = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), start))  # no sentence offends
-        pull = np.where(y == 1, none / np.maximum(1 - none, 1e-6), -1.0) * share
-        dz = pull[doc] * p
-        gw, gb = np.bincount(column, dz[row], len(w)) - ridge * w, dz.sum()
+        gw, gb = bags.gradient(w, bias)
+        gw = gw - ridge * w
         g2, b2 = g2 + gw * gw, b2 + gb * gb
         w, bias = w + rate * gw / np.sqrt(g2), bias + rate * gb / np.sqrt(b2)
     return {p: float(w[i]) for p, i in number.items()}, float(bias)
@@ -164,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, n_sentences, worst_start, worst_end, worst_score.
 
     worst_* is the sentence that offends most (characters of the text; null without sentences). Null, empty and
-    wordless texts score 0. Rows that repeat score alike; only doc_id and text are read; an empty table gives no rows.
+    wordless texts score 0; texts and words of any length are read whole. Rows that repeat score alike; only doc_id and text are read; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

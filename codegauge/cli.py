@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .functions import scan, text
 from .plans import build, evaluate, historical, report
 from .sources import jsonl, sinks
 
@@ -30,6 +31,8 @@ def validate_submission(spark, a) -> None:
 def run_evaluate(spark, a) -> None:
     found = {n: spark.read.json(p, schema=s) if p else None for n, p, s in (("defects", a.defects, "task_id string, rule string, odc string, line long"), ("vulnerabilities", a.vulnerabilities, "task_id string, cwes array<string>, severity string, lines string"))}
     tasks = _load(spark, a.tasks, schemas.TASK).drop("ordinal")
+    if a.categories:
+        found["categories"] = jsonl.read_map(spark, a.categories)
     out = evaluate.evaluate(tasks, _load(spark, a.references, schemas.REFERENCE).drop("ordinal"), _load(spark, a.predictions, schemas.PREDICTION).drop("ordinal"), **found)
     print(sinks.write_jsonl(out, a.output, a.overwrite))
 
@@ -83,7 +86,24 @@ def merge_rules(spark, a) -> None:
     print(sinks.write_jsonl(merged, a.output, a.overwrite))
 
 
+def list_functions(spark, a) -> None:
+    """Every function of the fields of a dataset of JSON lines; each field is given as field:language."""
+    specs = [text.field_spec(x) for x in a.field]
+    rows = spark.read.json(a.dataset)
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(g).alias("language"), F.col(f).cast("string").alias("code")) for f, g in specs])).alias("x")
+    samples = rows.select(F.col(a.key).cast("string").alias("row_id"), cells).select("row_id", "x.*")
+    print(sinks.write_jsonl(scan.function_records(samples).drop("code"), a.output, a.overwrite))
+
+
+def build_table(spark, a) -> None:
+    """Writes a metrics table as Parquet, with a validation report beside it."""
+    found = report.validated_table(spark.read.parquet(a.metrics), f"{a.output_dir}/table", a.language, a.dataset_rows, a.overwrite)
+    sinks.write_document(found, spark.read.parquet(f"{a.output_dir}/table"), f"{a.output_dir}/validation.json", a.overwrite)
+
+
 COMMANDS = {
+    "list-functions": (list_functions, ("dataset", "key", "output")),
+    "build-table": (build_table, ("metrics", "output-dir")),
     "validate-submission": (validate_submission, ("tasks", "predictions")),
     "evaluate": (run_evaluate, ("tasks", "references", "predictions", "output")),
     "subset-results": (subset_results, ("tasks", "results", "output")),
@@ -106,12 +126,18 @@ def parser() -> argparse.ArgumentParser:
         if name == "evaluate":
             p.add_argument("--defects", help="findings as JSON lines; without both kinds outcomes are null")
             p.add_argument("--vulnerabilities")
+            p.add_argument("--categories", help="rules and their categories as CSV; a finding's aliases are looked up in it")
         elif name == "historical-results":
             p.add_argument("--model", choices=("human", "openai", "dsc", "qwen"), required=True)
             p.add_argument("--metrics", action="append", required=True, help="language=path of a metrics table")
         elif name == "build-large":
             p.add_argument("--language", choices=schemas.LANGUAGES, required=True)
             p.add_argument("--difficulty-threshold", type=int, default=3)
+        elif name == "list-functions":
+            p.add_argument("--field", action="append", required=True, help="field:language")
+        elif name == "build-table":
+            p.add_argument("--language", choices=schemas.LANGUAGES, required=True)
+            p.add_argument("--dataset-rows", type=int, required=True)
         elif name == "compare":
             p.add_argument("--baseline", action="append", required=True)
     return out

@@ -142,7 +142,7 @@ def body_stub(text: Column) -> tuple[Column, Column]:
 
 def percent(c: Column, digits: int = 1) -> Column:
     """F32: 12.3%, an em dash for null."""
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", c * 100), F.lit("%")), F.lit("—"))
+    return F.when(c.isNotNull(), F.concat(F.format_string(f"%.{digits}f", c * 100), F.lit("%"))).otherwise("—")
 
 
 #: Fixed value: path:line:column: severity: message [check].

@@ -601,4 +601,4 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return docs.withColumn("status", status).groupBy("lang").agg(F.count("*").alias("tasks"), gates.rate(F.col("status") == "nontrivial").alias("strict_rate"), F.avg("n").alias("token_count_mean"))
 
 
-from . import code_queries, study_queries  # noqa: E402, F401
+from . import code_queries, plan_queries, study_queries  # noqa: E402, F401

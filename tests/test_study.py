@@ -81,3 +81,8 @@ def test_long_reports_are_refused(spark):
     assert sinks.markdown(spark.range(3), most=3).count("\n") == 5
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(4), most=3)
+
+
+def test_percent_of_nothing(spark):
+    df = spark.createDataFrame([(0.125,), (None,), (1.0,)], "x double")
+    assert [r[0] for r in df.select(text.percent(F.col("x"))).collect()] == ["12.5%", "—", "100.0%"]

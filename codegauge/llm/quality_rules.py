@@ -8,6 +8,7 @@ rules before it let pass, and a statistic is computed when first asked for.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from functools import cached_property
@@ -100,7 +101,12 @@ class Text:
 
     @cached_property
     def n_upper(self) -> int:
-        return sum(map(str.isupper, self.text))
+        """Capital letters: what is upper case and no numeral or circled sign."""
+        return sum(map(str.isupper, self.text)) - (0 if self.text.isascii() else len(_SIGNS.findall(self.text)))
+
+
+#: Fixed value: Roman numerals, and circled and squared letters, which are upper case and no letters of the class Lu.
+_SIGNS = re.compile("[\u2160-\u216f\u24b6-\u24cf\U0001f130-\U0001f149\U0001f150-\U0001f169\U0001f170-\U0001f189]")
 
 
 class Rule(NamedTuple):

@@ -74,3 +74,12 @@ def test_rates_against_an_independent_solve(spark):
                     assert r.rate == pytest.approx(3 / (1 + 2 * math.exp(-max(-500, min(500, low * r.size)))), rel=1e-5)
         assert abs(sum(r.taken for r in rs) - target) <= 60 and all(r.taken <= 3 * r.size for r in rs)
     assert inner >= 3
+
+
+def test_capitals_are_letters_of_the_class_lu():
+    import unicodedata
+
+    from codegauge.llm import quality_rules
+
+    text = "".join(chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000)
+    assert quality_rules.Text(text).n_upper == sum(unicodedata.category(c) == "Lu" for c in text)

@@ -21,7 +21,7 @@ _KEEP = set(keyword.kwlist) | set(dir(builtins))
 # Words of C and Java that are no identifiers.
 _WORDS = {
     "java": set("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var record sealed permits yield true false null".split()),
-    "c": set("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Complex _Imaginary NULL true false".split()),
+    "c": set("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Imaginary _Noreturn _Static_assert _Thread_local".split()),
 }
 
 
@@ -168,6 +168,117 @@ def _mask_generic(code: str, language: str) -> str:
     return "".join(roles.get(i, s) for i, (_, s) in enumerate(tokens))
 
 
+# Fixed value: what a numeral of C goes on with in masked data, signs included.
+_C_TOKEN = re.compile(r"""(?P<str>"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z))|(?P<num>[0-9][0-9._xXbBeEpPuUlLfF+-]*)|(?P<id>[A-Za-z_]\w*)|(?P<sp>[ \t\r\n]+)|(?P<op>->|::|.)""", re.S | re.A)
+_DIRECTIVE = re.compile(r"(?m)^[ \t]*\#[ \t]*(?P<word>[A-Za-z_]\w*)(?:\s*(?P<header><[^>\n]*>?|\"[^\"\n]*\"?))?", re.A)
+
+
+def c_types(code: str) -> set[str]:
+    """Tags of structs, unions and enums, and names that typedefs give: of each declarator the last word that is no keyword."""
+    flat = re.sub(_C_TOKEN, lambda m: " " if m["str"] else m[0], without_trivia(code, "c"))
+    found = set(re.findall(r"\b(?:struct|union|enum)\s+([A-Za-z_]\w*)", flat, re.A))
+    for m in re.finditer(r"\btypedef\b", flat):
+        depth, words = 0, []
+        for part in re.finditer(r"[A-Za-z_]\w*|[^\w\s]", flat[m.end() :], re.A):
+            sign = part[0]
+            depth = max(0, depth + (sign in "([{") - (sign in ")]}"))
+            if not depth and sign in ",;":
+                found.update(words[-1:])
+                words = []
+                if sign == ";":
+                    break
+            elif sign[0].isalpha() or sign[0] == "_":
+                words += [sign] if sign not in _WORDS["c"] else []
+    return found
+
+
+def _mask_c(code: str) -> str:
+    """Roles of C: directives first, then the words of each outermost call or definition by comma, then all others.
+
+    A name before a parenthesis is a function, and what stands in it is read as parameters are, in calls too: of a part between commas, the
+    last word of no other role is its parameter and words before it are types.
+    """
+    types, out = c_types(code), {}
+    tokens = [(m.start(), m.lastgroup, m[0]) for m in _C_TOKEN.finditer(code)]
+    macros, skipped = set(), []
+    for m in _DIRECTIVE.finditer(code):
+        skipped.append((m.start("word"), m.end("word")))
+        if m["word"] == "include" and m["header"]:
+            skipped[-1] = (m.start("word"), m.end("header"))
+            out |= {m.start("header") + x.start(): ("<HEADER>", len(x[0])) for x in re.finditer(r"[A-Za-z_]\w*", m["header"], re.A)}
+        elif m["word"] in ("define", "ifdef", "ifndef", "undef"):
+            macros.add(m.end("word"))
+    inside = lambda at: any(a <= at < b for a, b in skipped)
+    solid = [(at, kind, s) for at, kind, s in tokens if kind != "sp" and not inside(at)]
+    tag = macro = False
+    n = 0
+    while n < len(solid):
+        at, kind, s = solid[n]
+        n += 1
+        if macros and at >= min(macros):
+            macro = True
+            macros = {x for x in macros if x > at}
+        if kind in ("str", "num"):
+            out[at] = (f"<{kind.upper()}>", len(s))
+        elif kind == "id" and s in _WORDS["c"]:
+            tag = s in ("struct", "union", "enum")
+        elif kind == "id":
+            before, after = solid[n - 2][2] if n > 1 else "", solid[n][2] if n < len(solid) else ""
+            role = "<MACRO>" if macro else _c_role(s, tag, types, before, after)
+            macro, tag = False, tag and macro
+            if role is None and after == "(":
+                role, last = "<FUNC>", _close_of(solid, n)
+                out |= _c_arguments(solid[n + 1 : last], types)
+                n = last
+            out[at] = (role or ("<MACRO>" if s.isupper() and len(s) > 1 else "<VAR>"), len(s))
+    parts, end = [], 0
+    for at, (role, size) in sorted(out.items()):
+        parts += [code[end:at], role]
+        end = at + size
+    return "".join(parts) + code[end:]
+
+
+def _c_role(s: str, tag: bool, types: set[str], before: str, after: str) -> str | None:
+    if tag or s in types or "::" in (before, after):
+        return "<TYPE>"
+    return "<ATTR>" if before in (".", "->") else None
+
+
+def _close_of(solid: list[tuple[int, str, str]], opens: int) -> int:
+    """Where the parenthesis that opens there closes; the end if it does not."""
+    depth = 0
+    for k in range(opens, len(solid)):
+        depth += (solid[k][2] == "(") - (solid[k][2] == ")")
+        if not depth:
+            return k
+    return len(solid)
+
+
+def _c_arguments(inner: list[tuple[int, str, str]], types: set[str]) -> dict[int, tuple[str, int]]:
+    out: dict[int, tuple[str, int]] = {}
+    depth, tag, free, first = 0, False, [], 0
+    for k, (at, kind, s) in enumerate([*inner, (-1, "op", ",")]):
+        if s == "," and (not depth or k == len(inner)):
+            out |= {x: ("<TYPE>", size) for x, size in free[:-1]} | {x: ("<PARAM>", size) for x, size in free[-1:]}
+            free, tag, first = [], False, k + 1
+        elif kind in ("str", "num"):
+            out[at] = (f"<{kind.upper()}>", len(s))
+        elif kind == "id" and s in _WORDS["c"]:
+            tag = s in ("struct", "union", "enum")
+        elif kind == "id":
+            role = _c_role(s, tag, types, inner[k - 1][2] if k > first else "", inner[k + 1][2] if k + 1 < len(inner) else "")
+            tag = False
+            if role:
+                out[at] = (role, len(s))
+            else:
+                free.append((at, len(s)))
+        depth += (s == "(") - (s == ")")
+    return out
+
+
+_NAMES = re.compile(r"""(?P<str>"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z))|(?P<id>[A-Za-z_$][\w$]*)""", re.S | re.A)
+
+
 def masked(code: str, language: str, mode: str = "structure", legacy: bool = False, scope: str = "") -> str:
     """Structure, none, placeholder, per-file-hash or global-hash.
 
@@ -176,13 +287,15 @@ def masked(code: str, language: str, mode: str = "structure", legacy: bool = Fal
     if mode == "none":
         return code
     if mode == "structure":
-        return _mask_python(code, legacy) if language == "python" else _mask_generic(code, language)
+        return _mask_python(code, legacy) if language == "python" else _mask_c(code) if language == "c" else _mask_generic(code, language)
     words = _KEEP if language == "python" else _WORDS[language]
 
     def name(m: re.Match) -> str:
         s = m["id"]
         if s is None or s in words:
             return m[0]
-        return "ID" if mode == "placeholder" else short_hash(f"{scope}:{s}" if mode == "per-file-hash" else s)
+        if language == "python":
+            return "ID" if mode == "placeholder" else short_hash(f"{scope}:{s}" if mode == "per-file-hash" else s)
+        return "<ID>" if mode == "placeholder" else short_hash(f"{scope}:{s}" if mode == "per-file-hash" and scope else s, 3)
 
-    return _GENERIC.sub(name, code)
+    return (_GENERIC if language == "python" else _NAMES).sub(name, code)

@@ -107,6 +107,16 @@ def without_comments(spark, sf):
     return made(spark, sf).select("id", *[bare(c).alias(n) for n, c in plain.items()], *[scan.nloc(F.col(x), x).alias(f"{x}_lines") for x in _LINES])
 
 
+@query(f"""select id, 'int<FUNC>(' || {_PARAMETERS.format("'int<PARAM>'")} || ')' || chr(123) || repeat('if(<VAR>)' || chr(123), d) || '<VAR>=<NUM>;' || repeat(chr(125), d) || repeat('<VAR>=<NUM>;', s) || 'return<NUM>;' || chr(125) as structure,
+    'int<ID>(' || {_PARAMETERS.format("'int<ID>'")} || ')' || chr(123) || repeat('if(<ID>)' || chr(123), d) || '<ID>=1;' || repeat(chr(125), d) || repeat('<ID>=1;', s) || 'return' || (id + 1000) || ';' || chr(125) as placeholder,
+    'intID_' || left(sha1('f' || id), 6) || '(' || {_PARAMETERS.format("'intID_' || left(sha1('p' || i), 6)")} || ')' || chr(123) || repeat('if(ID_' || left(sha1('p0'), 6) || ')' || chr(123), d) || 'ID_' || left(sha1('x'), 6) || '=1;' || repeat(chr(125), d) || repeat('ID_' || left(sha1('x'), 6) || '=1;', s) || 'return' || (id + 1000) || ';' || chr(125) as global_hash from {_MADE}""")
+def masked_c(spark, sf):
+    """the same of the C samples, without their comments."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    modes = {m.replace("-", "_"): _scanned(lambda c, m=m: masking.masked(masking.without_trivia(c, "c"), "c", m))("c") for m in ("structure", "placeholder", "global-hash")}
+    return made(spark, sf).select("id", *[bare(c).alias(n) for n, c in modes.items()])
+
+
 # Submissions of each kind, by customer: what becomes of them is known.
 _KINDS = ("unsubmitted", "empty", "unreadable", "other name", "other arity", "stub", "constant", "small", "whole")
 _STATUS = "case kind when 0 then 'empty' when 1 then 'empty' when 2 then 'parse_error' when 3 then 'target_missing' when 4 then 'arity_mismatch' when 5 then 'explicit_stub' when 6 then 'constant_noop' when 7 then 'undersized' else case when d + s + nested > 0 then 'nontrivial' else 'undersized' end end"  # two statements are few

@@ -20,7 +20,7 @@ from . import scan
 _KEEP = set(keyword.kwlist) | set(dir(builtins))
 # Words of C and Java that are no identifiers.
 _WORDS = {
-    "java": set("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var record sealed permits yield true false null".split()),
+    "java": set("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while var record sealed permits non yield true false null".split()),
     "c": set("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Imaginary _Noreturn _Static_assert _Thread_local".split()),
 }
 
@@ -114,58 +114,83 @@ def _mask_python(code: str, legacy: bool) -> str:
 _GENERIC = re.compile(r"""(?P<inc>(?m:^)[ \t]*\#[ \t]*include[^\n]*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<num>\b\d[\w.]*)|(?P<id>[A-Za-z_]\w*)|(?P<sp>\s+)|(?P<op>.)""", re.S)
 
 
-def _mask_generic(code: str, language: str) -> str:
-    words = _WORDS[language]
-    tokens = [(m.lastgroup, m[0]) for m in _GENERIC.finditer(code)]
-    solid = [i for i, (k, _) in enumerate(tokens) if k != "sp"]
-    types = set(re.findall(r"\b(?:struct|union|enum|class|interface|record)\s+([A-Za-z_]\w*)", code)) | set(re.findall(r"\btypedef\b[^;]*?([A-Za-z_]\w*)\s*;", code))
-    defined = {s[0].rpartition("::")[2]: s for s in scan._spans(code, language)}
-    out, statement, depth, params = [], None, 0, None
-    for n, i in enumerate(solid):
-        kind, s = tokens[i]
-        prev = tokens[solid[n - 1]][1] if n else ""
-        nxt = tokens[solid[n + 1]][1] if n + 1 < len(solid) else ""
-        role = None
-        if kind == "inc":
-            role = re.sub(r"[<\"][^>\"]*[>\"]", "<HEADER>", s)
-        elif kind in ("str", "num"):
-            role = "<STR>" if kind == "str" else "<NUM>"
+# Literals of Java, numerals with what they go on with in masked data.
+_JAVA_TOKEN = re.compile(r'''(?P<str>"""(?:\\.|(?!""").)*(?:"""|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z))|(?P<num>[0-9][0-9._xXbBeEfFdDlL]*)|(?P<id>[A-Za-z_$][\w$]*)|(?P<sp>\s+)|(?P<op>.)''', re.S | re.A)
+
+
+def _mask_java(code: str) -> str:
+    """Roles of Java, from left to right: packages and imports, annotations, attributes, new types, declared classes, methods with what stands in their parentheses, types, variables.
+
+    Types are words in angle brackets (an open one counts from there on), before one, or with a capital. In a method's parentheses, in calls too,
+    all other words are parameters.
+    """
+    tokens = [(m.start(), m.lastgroup, m[0]) for m in _JAVA_TOKEN.finditer(code) if m.lastgroup != "sp"]
+    text = lambda k: tokens[k][2] if 0 <= k < len(tokens) else ""
+    out: dict[int, str] = {}
+    n = angle = depth = 0
+    annotation = made = declared = False
+
+    def bracketed(k: int, angle: int) -> tuple[int, int]:
+        """Every word up to the angle bracket's end is a type, keywords included."""
+        while k < len(tokens) and angle > 0:
+            angle = max(0, angle + (text(k) == "<") - (text(k) == ">"))
+            if tokens[k][1] == "id":
+                out[k] = "<TYPE>"
+            k += 1
+        return k, angle
+
+    while n < len(tokens):
+        _, kind, s = tokens[n]
+        here, after = n, text(n + 1)
+        n += 1
+        if kind in ("str", "num"):
+            out[here] = f"<{kind.upper()}>"
         elif kind == "op":
-            if s == "(":
-                depth += 1
-                if params is None and prev in defined:
-                    params = depth
-            elif s == ")":
-                params = None if params == depth else params
-                depth -= 1
-            elif s in ";{":
-                statement = None
-        elif kind == "id":
-            if s in ("package", "import") and language == "java":
-                statement = s
-            elif s in words:
-                pass
-            elif prev == "#":
-                role = s
-            elif prev == "define" or language == "c" and s.isupper() and len(s) > 1:
-                role = "<MACRO>"
-            elif statement:
-                role = "<PKG>"
-            elif prev == "@":
-                role = "<ANNOT>"
-            elif prev in ("class", "interface", "enum", "record") and language == "java":
-                role = "<CLASS>"
-            elif prev in (".", "->", ">") and prev != ">" or prev == ">" and n > 1 and tokens[solid[n - 2]][1] == "-":
-                role = ("<METHOD>" if language == "java" else "<FUNC>") if nxt == "(" else "<ATTR>"
-            elif nxt == "(":
-                role = "<TYPE>" if prev == "new" else "<METHOD>" if language == "java" else "<FUNC>"
-            elif s in types or language == "java" and s[0].isupper() and not s.isupper() or re.match(r"[A-Za-z_]", nxt) and nxt not in words or nxt == "*" and tokens[min(i + 1, len(tokens) - 1)][0] == "sp" and prev in ("", ";", "{", "}", "(", ","):
-                role = "<TYPE>"
-            else:
-                role = "<PARAM>" if params is not None else "<VAR>"
-        out.append((i, role))
-    roles = {i: r for i, r in out if r}
-    return "".join(roles.get(i, s) for i, (_, s) in enumerate(tokens))
+            angle = max(0, angle + (s == "<") - (s == ">"))
+            depth += ((s == "(") - (s == ")")) if depth else 0
+            annotation = annotation or s == "@" and not depth
+        elif s in _WORDS["java"]:
+            if depth:
+                continue
+            made, declared = made or s == "new", declared or s in ("class", "interface", "enum", "record")
+            if s in ("package", "import"):
+                end = next((k for k in range(n, len(tokens)) if text(k) == ";"), len(tokens))
+                names = [k for k in range(n, end) if tokens[k][1] == "id" and text(k) not in _WORDS["java"]]
+                out |= dict.fromkeys(names, "<PKG>")
+                if s == "import" and names and text(end - 1) != "*":
+                    out[names[-1]] = "<SYM>"
+                n = end
+        elif depth:
+            out[here] = "<TYPE>" if s[0].isupper() or after == "<" else "<PARAM>"
+        elif annotation or made and text(here - 1) != ".":
+            role = "<ANNOT>" if annotation else "<TYPE>"
+            out[here] = role
+            while True:
+                if text(n) == "." and n + 1 < len(tokens) and tokens[n + 1][1] == "id":
+                    out[n + 1] = role
+                    n += 2
+                elif text(n) == "<" and not annotation:
+                    n, angle = bracketed(n + 1, angle + 1)
+                else:
+                    break
+            annotation, made = False, made and annotation
+        elif text(here - 1) == ".":
+            out[here] = "<ATTR>"
+        elif declared:
+            out[here], declared = "<CLASS>", False
+            if after == "<":
+                n, angle = bracketed(n + 1, angle + 1)
+        elif after == "(":
+            out[here], depth = "<METHOD>", 1
+            n += 1
+        else:
+            out[here] = "<TYPE>" if angle or after == "<" or s[0].isupper() else "<VAR>"
+    parts, end = [], 0
+    for k in sorted(out):
+        at, _, s = tokens[k]
+        parts += [code[end:at], out[k]]
+        end = at + len(s)
+    return "".join(parts) + code[end:]
 
 
 # Fixed value: what a numeral of C goes on with in masked data, signs included.
@@ -287,7 +312,7 @@ def masked(code: str, language: str, mode: str = "structure", legacy: bool = Fal
     if mode == "none":
         return code
     if mode == "structure":
-        return _mask_python(code, legacy) if language == "python" else _mask_c(code) if language == "c" else _mask_generic(code, language)
+        return _mask_python(code, legacy) if language == "python" else _mask_c(code) if language == "c" else _mask_java(code)
     words = _KEEP if language == "python" else _WORDS[language]
 
     def name(m: re.Match) -> str:

@@ -6,12 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import text
+from ..functions import masking, text
 from . import build, report
 from .registry import query, t
 
 # Texts
 
+
+def _java_samples(spark, sf) -> DataFrame:
+    """(id, code): a class, a method or a statement for each customer."""
+    rows = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"))
+    kind = F.col("id") % 3
+    whole = F.format_string("package p%d;\nimport a.B%d;\n\npublic class C%d {\n    int x;\n}", "n", "id", "id")
+    method = F.format_string("import a.B%d;\npublic int m%d(int a) {\n    return a;\n}\n", "id", "id")
+    code = F.when(kind == 0, whole).when(kind == 1, method).otherwise(F.format_string("int x = %d;", "id"))
+    return rows.select("id", code.alias("code"))
+
+
+@query("""select c_custkey as id, case c_custkey % 3 when 0 then 'package<PKG>;import<PKG>.<SYM>;publicclass<CLASS>{int<VAR>;}' when 1 then 'import<PKG>.<SYM>;publicint<METHOD>(int<PARAM>){return<VAR>;}' else 'int<VAR>=<NUM>;' end as structure,
+    case c_custkey % 3 when 0 then 'package<ID>;import<ID>.<ID>;publicclass<ID>{int<ID>;}' when 1 then 'import<ID>.<ID>;publicint<ID>(int<ID>){return<ID>;}' else 'int<ID>=' || c_custkey || ';' end as placeholder from customer""")
+def masked_java(spark, sf):
+    """identifiers of the Java samples masked; white space left out."""
+
+    def masks(mode: str):
+        return F.pandas_udf(lambda batch: batch.map(lambda c: masking.masked(c, "java", mode)), "string")("code")
+
+    rows = _java_samples(spark, sf)
+    return rows.select("id", *[F.regexp_replace(masks(m), r"\s+", "").alias(m) for m in ("structure", "placeholder")])
+
 _JAVA = "(select c_custkey as id, c_nationkey as n, c_custkey % 3 as kind from customer)"
 
 
@@ -21,12 +43,7 @@ _JAVA = "(select c_custkey as id, c_nationkey as n, c_custkey % 3 as kind from c
     else 'public class Submission {{' || chr(10) || repeat(' ', 4) || 'int x = ' || id || ';' || chr(10) || '}}' || chr(10) end as wrapped from {_JAVA}""")
 def java_texts(spark, sf):
     """Java samples of three kinds without their imports, and put into a class."""
-    rows = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"))
-    kind = F.col("id") % 3
-    whole = F.format_string("package p%d;\nimport a.B%d;\n\npublic class C%d {\n    int x;\n}", "n", "id", "id")
-    method = F.format_string("import a.B%d;\npublic int m%d(int a) {\n    return a;\n}\n", "id", "id")
-    code = F.when(kind == 0, whole).when(kind == 1, method).otherwise(F.format_string("int x = %d;", "id"))
-    rows = rows.withColumn("code", code).withColumn("body", text.java_body(F.col("code")))
+    rows = _java_samples(spark, sf).withColumn("body", text.java_body(F.col("code")))
     return rows.select("id", "body", text.java_type_name(F.col("code")).alias("type_name"), text.has_orphan_methods(F.col("body")).alias("orphan"), text.wrap_java(F.col("code")).alias("wrapped"))
 
 

@@ -29,3 +29,20 @@ def test_names_alone():
     assert masking.masked("a + int_b", "c", "global-hash") == f"{h('a', 3)} + {h('int_b', 3)}" and h("a", 3) == "ID_86f7e4"
     assert masking.masked("class A { int b$; }", "java", "placeholder") == "class <ID> { int <ID>; }"
     assert masking.masked(code, "c", "none") == code
+
+
+JAVA = [
+    ("package a.b;\nimport java.util.List;\nimport static a.B.c;\nimport x.y.*;", "package <PKG>.<PKG>;\nimport <PKG>.<PKG>.<SYM>;\nimport static <PKG>.<PKG>.<SYM>;\nimport <PKG>.<PKG>.*;"),
+    ("public class Box<T extends Item> { T value; }", "public class <CLASS><<TYPE> <TYPE> <TYPE>> { <TYPE> <VAR>; }"),
+    ("@Override public int size(List<String> all, int n) { return all.size() + n; }", "@<ANNOT> public int <METHOD>(<TYPE><<TYPE>> <PARAM>, int <PARAM>) { return <VAR>.<ATTR>() + <VAR>; }"),
+    ("Map<String, Integer> m = new a.HashMap<>(); x = new Foo(y);", "<TYPE><<TYPE>, <TYPE>> <VAR> = new <TYPE>.<TYPE><>(); <VAR> = new <TYPE>(<VAR>);"),
+    ("run(x -> x.go(1), \"s\", 'c', Other.NAME);", "<METHOD>(<PARAM> -> <PARAM>.<PARAM>(<NUM>), <STR>, <STR>, <TYPE>.<TYPE>);"),
+    ("@a.b.Test int x = 0x1F; String s = \"\"\"\n a \\\"\"\" b\"\"\";", "@<ANNOT>.<ANNOT>.<ANNOT> int <VAR> = <NUM>; <TYPE> <VAR> = <STR>;"),
+    ("if (a < b) c = d;", "if (<TYPE> < <TYPE>) <TYPE> = <TYPE>;"),
+    ("enum Color { RED }", "enum <CLASS> { <TYPE> }"), ("f(", "<METHOD>("), ("", ""),
+]
+
+
+@pytest.mark.parametrize("code,want", JAVA)
+def test_roles_of_java(code, want):
+    assert masking.masked(code, "java") == want

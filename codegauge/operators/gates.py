@@ -119,3 +119,20 @@ def degenerate(nloc: Column, operators: Column, operands: Column) -> Column:
     """Functions that the older per-function analysis leaves out: no lines, no operators or no operands; what is missing counts as none."""
     none = lambda c: F.coalesce(c, F.lit(0)) <= 0
     return none(nloc) | none(operators) | none(operands)
+
+
+def mean_if(value: Column, flag: Column) -> Column:
+    """The mean over rows for which the flag holds; null where there is none."""
+    return F.avg(F.when(flag, value))
+
+
+def members(arrays: Column) -> tuple[Column, Column]:
+    """A5: (mean, number) of all members of a group's arrays, from each array's sum and size: nothing is exploded. A null array has none."""
+    total = F.sum(F.aggregate(arrays, F.lit(0.0), lambda a, x: a + x.cast("double")))
+    count = F.coalesce(F.sum(F.when(arrays.isNotNull(), F.size(arrays).cast("long"))), F.lit(0))
+    return F.try_divide(total, count), count
+
+
+def value_counts(value: Column) -> dict[str, Column]:
+    """How many values are null, zero, and neither null nor finite."""
+    return {"nulls": F.count_if(value.isNull()), "zeros": F.count_if(value == 0), "odd": F.count_if(F.isnan(value) | (F.abs(value) == float("inf")))}

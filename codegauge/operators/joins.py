@@ -6,7 +6,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -70,11 +70,15 @@ def attach_code(selected: DataFrame, dataset: DataFrame, fields: dict[str, str],
     return joined.withColumn("code", F.coalesce("code", missing))
 
 
+def ordinal_of(path: Column, pattern: str) -> Column:
+    """The number, counted from 1, that is the pattern's first group, as one counted from 0; null where there is none."""
+    n = F.regexp_extract(path, pattern, 1)
+    return F.when(n != "", F.try_subtract(n.try_cast("long"), F.lit(1)))
+
+
 def by_path_ordinal(paths: DataFrame, keys: DataFrame, path: str = "path", extension: str = r"(?:py|java|c)") -> DataFrame:
     """Paths ending in _<n>.<extension> to keys (key, idx): n counts from 1, idx from 0. Others get a null key."""
-    n = F.regexp_extract(path, rf"_(\d+)\.{extension}$", 1)
-    idx = F.when(n != "", F.try_subtract(n.try_cast("long"), F.lit(1))).alias("idx")
-    return paths.withColumn("idx", idx).join(keys, "idx", "left")
+    return paths.withColumn("idx", ordinal_of(F.col(path), rf"_(\d+)\.{extension}$")).join(keys, "idx", "left")
 
 
 def java_files(snippets: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

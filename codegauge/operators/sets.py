@@ -36,3 +36,8 @@ def sizes(left: DataFrame, right: DataFrame, keys: list[str], wanted: dict[str,
 def merged(values: Column) -> Column:
     """T7, as an aggregate: the sorted distinct members of a group's arrays; arrays are made distinct before they are gathered."""
     return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.array_distinct(values))))))
+
+
+def distinct_sorted(value: Column) -> Column:
+    """A12, as an aggregate: a group's distinct values, sorted."""
+    return F.array_sort(F.collect_set(value))

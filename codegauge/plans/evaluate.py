@@ -103,7 +103,7 @@ def summarize(results: DataFrame) -> DataFrame:
     clean = lambda c: F.col(c) & gates._zero("defects_total") & gates._zero("vulns_total")
     scanned = F.col("defects_total")
     strict = F.col("strict_nontrivial")
-    means = [F.avg(F.when(strict, F.col(f"complexity.{m}_{k}"))).alias(f"{m}_{k}") for m in schemas.FUNCTION_METRICS for k in ("mean", "sum")]
+    means = [gates.mean_if(F.col(f"complexity.{m}_{k}"), strict).alias(f"{m}_{k}") for m in schemas.FUNCTION_METRICS for k in ("mean", "sum")]
     lengths = F.when(strict, F.col("complexity.function_name_lengths"))
     rows = results.groupBy("language").agg(
         F.count("*").alias("tasks"),
@@ -111,8 +111,8 @@ def summarize(results: DataFrame) -> DataFrame:
         *[gates.incidence(F.col(c), scanned).alias(f"{c}_incidence") for c in schemas.OUTCOMES],
         *[F.when(F.count(scanned) == F.count(F.lit(1)), gates.rate(clean(c))).alias(n) for c, n in (("nonstub", "clean_nonstub_at_1"), ("strict_nontrivial", "clean_strict_at_1"))],
         *means,
-        F.try_divide(F.sum(F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))), F.sum(F.size(lengths).cast("long") * strict.cast("long"))).alias("function_name_length_mean"),
-        F.avg(F.when(strict, F.col("token_count"))).alias("target_token_count_mean"),
+        gates.members(lengths)[0].alias("function_name_length_mean"),
+        gates.mean_if(F.col("token_count"), strict).alias("target_token_count_mean"),
     )
     distinct = results.select("language", F.explode("lexical_tokens").alias("t")).distinct().groupBy("language").agg(F.count("*").alias("distinct_tokens"))
     return rows.join(distinct, "language", "left").fillna(0, ["distinct_tokens"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import contracts, findings, gates, joins, ngram, sets, stats, windows
+from . import report
 from .registry import ORACLE, QUERIES, query, t  # noqa: F401
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -44,13 +45,13 @@ def clean_strict(spark, sf):
 
 @query("select lang, round(avg(case when quality = 1 then n_chars end), 6) as strict_chars, round(avg(case when quality = 0 then n_chars end), 6) as other_chars from documents left join labels using (doc_id) group by lang")
 def conditional_means(spark, sf):
-    return labelled(spark, sf, "left").groupBy("lang").agg(*[F.round(F.avg(F.when(F.col("quality") == q, F.col("n_chars"))), 6).alias(n) for q, n in ((1, "strict_chars"), (0, "other_chars"))])
+    return labelled(spark, sf, "left").groupBy("lang").agg(*[F.round(gates.mean_if(F.col("n_chars"), F.col("quality") == q), 6).alias(n) for q, n in ((1, "strict_chars"), (0, "other_chars"))])
 
 
 @query("select label, round(sum(floor(x * 1000)) / count(*), 6) as mean_component, count(*) as components from (select label, unnest(embedding)::double as x from embeddings) group by label")
 def explode_mean(spark, sf):
-    each = t(spark, sf, "embeddings").select("label", F.explode("embedding").alias("x"))
-    return each.groupBy("label").agg(F.round(F.sum(F.floor(F.col("x").cast("double") * 1000)) / F.count("*"), 6).alias("mean_component"), F.count("*").alias("components"))
+    mean, count = gates.members(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000)))
+    return t(spark, sf, "embeddings").groupBy("label").agg(F.round(mean, 6).alias("mean_component"), count.alias("components"))
 
 
 _SQL_TOKEN = r"'[A-Za-z_]\w*|\d+(?:\.\d+)?|==|!=|<=|>=|&&|\|\||->|[^\s]'"
@@ -70,7 +71,7 @@ def token_counts(spark, sf):
 @query("select doc_id, sha256(text) as sha from (select *, row_number() over (partition by sha256(text) order by doc_id) as n from documents) where n = 1")
 def sha_dedup_first(spark, sf):
     docs = t(spark, sf, "documents").select("doc_id", text.sha256(F.col("text")).alias("sha"))
-    return docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))  # keep-first by id needs no window
+    return windows.keep_first(docs, ["sha"], ["doc_id"])
 
 
 # Difficulty, gates and consensus over events: type for author, user for key
@@ -160,7 +161,7 @@ def severity_dedup(spark, sf):
 @query("select l_orderkey, string_agg(distinct l_shipmode_like, ',' order by l_shipmode_like) as modes from (select l_orderkey, l_returnflag || l_linestatus as l_shipmode_like from lineitem) group by 1")
 def sorted_distinct_set(spark, sf):
     li = t(spark, sf, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("m"))
-    return li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("m")), ",").alias("modes"))
+    return li.groupBy("l_orderkey").agg(F.array_join(sets.distinct_sorted(F.col("m")), ",").alias("modes"))
 
 
 _ALIASES = {"green": "Checking", "red": "Interface", "blue": "Timing", "small": "Algorithm", "Widget": "Assignment"}
@@ -256,7 +257,8 @@ def ordered_subset(spark, sf):
 def paired_delta(spark, sf):
     rows = labelled(spark, sf)
     both = joins.paired(rows.select("doc_id", "lang", F.col("quality").alias("x")), rows.select("doc_id", "lang", F.col("toxic").alias("x")), ["doc_id", "lang"])
-    return both.groupBy("lang").agg(F.round(F.avg("x_a"), 6).alias("submission"), F.round(F.avg("x_b"), 6).alias("baseline_value"), F.round(F.avg(F.col("x_a") - F.col("x_b")), 6).alias("delta"), F.count("*").alias("n"))
+    got = stats.paired_deltas(both.select("lang", F.col("x_a").alias("a"), F.col("x_b").alias("b")), ["lang"], resamples=0)
+    return got.select("lang", *[F.round(c, 6).alias(c) for c in ("submission", "baseline_value", "delta")], "n")
 
 
 @query("select a, n from (select 'both' as a, count(*) as n from (select o_orderkey from orders intersect select l_orderkey from lineitem) union all select 'either', count(*) from (select o_orderkey from orders union select l_orderkey from lineitem) union all select 'orders_only', count(*) from (select o_orderkey from orders except select l_orderkey from lineitem))")
@@ -372,8 +374,7 @@ def range_parent(spark, sf):
 
 @query(r"select page_id, (try_cast(nullif(regexp_extract(url, '/(\d+)(\?|#|$)', 1), '') as int) - 1)::varchar as idx from pages")
 def url_ordinal_key(spark, sf):
-    n = F.regexp_extract("url", r"/(\d+)(\?|#|$)", 1)
-    return t(spark, sf, "pages").select("page_id", (F.when(n != "", n.try_cast("int")) - 1).cast("string").alias("idx"))
+    return t(spark, sf, "pages").select("page_id", joins.ordinal_of(F.col("url"), r"/(\d+)(\?|#|$)").cast("string").alias("idx"))
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k, coalesce(json_extract_string(props, '$.extra.metadata.cwe'), 'none') as cwe from events")
@@ -410,8 +411,7 @@ def id_and_format(spark, sf):
 
 @query("select event_type, count(*) filter (value is null) as nulls, count(*) filter (value = 0) as zeros, count(*) filter (isnan(value) or isinf(value)) as odd from events group by 1")
 def finite_accounting(spark, sf):
-    v = F.col("value")
-    return t(spark, sf, "events").groupBy("event_type").agg(F.count_if(v.isNull()).alias("nulls"), F.count_if(v == 0).alias("zeros"), F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("odd"))
+    return t(spark, sf, "events").groupBy("event_type").agg(*[c.alias(n) for n, c in gates.value_counts(F.col("value")).items()])
 
 
 @query("select n_name, count(*) as customers, case n_regionkey when 0 then 2 when 1 then 1 else 3 end as region_rank from customer join nation on c_nationkey = n_nationkey group by n_name, n_regionkey order by region_rank, n_name")
@@ -425,8 +425,7 @@ def ordered_domain(spark, sf):
 def scope_distribution(spark, sf):
     x = t(spark, sf, "lineitem").join(t(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     x = x.select(F.col("c_mktsegment").alias("mkt"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q"))
-    sets = x.groupingSets([[F.col("flag")], [F.col("mkt"), F.col("flag")]], F.col("mkt"), F.col("flag")).agg(F.round(F.avg((F.col("q") > 25).cast("double")), 6).alias("incidence"))
-    return sets.select(F.coalesce("mkt", F.lit("ALL")).alias("scope"), "flag", "incidence")
+    return report.scopes(x, "mkt", ["flag"], {"incidence": F.round(gates.rate(F.col("q") > 25), 6)})
 
 
 # Contracts as queries: the rows that violate them
@@ -492,8 +491,7 @@ def author_pairs(spark, sf):
 
 @query("select l_returnflag, round(avg(case when l_linestatus = 'O' then l_discount end), 6) as o, round(avg(case when l_linestatus = 'F' then l_discount end), 6) as f from lineitem group by 1")
 def pivot_means(spark, sf):
-    w = t(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.avg("l_discount"))
-    return w.select("l_returnflag", F.round("O", 6).alias("o"), F.round("F", 6).alias("f"))
+    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(*[F.round(gates.mean_if(F.col("l_discount"), F.col("l_linestatus") == x), 6).alias(x.lower()) for x in "OF"])
 
 
 @query("select event_type as author, event_id as idx, 'U' || user_id || case when n > 1 then '_' || n else '' end || '.java' as file from (select *, row_number() over (partition by event_type, user_id order by event_id) as n from events)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -40,9 +40,16 @@ def odc_table(results: DataFrame) -> DataFrame:
 
 def distributions(results: DataFrame, metrics: tuple[str, ...] = schemas.OUTCOMES) -> DataFrame:
     """Incidence of each metric by scope (ALL or a language) and author; the total comes from the same pass."""
-    sets = results.groupingSets([[F.col("author")], [F.col("language"), F.col("author")]], F.col("language"), F.col("author")).agg(*[F.avg((F.col(m) > 0).cast("double")).alias(m) for m in metrics], F.grouping("language").alias("g"))
+    sets = scopes(results, "language", ["author"], {m: F.avg((F.col(m) > 0).cast("double")) for m in metrics})
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("incidence")) for m in metrics])).alias("x")
-    return sets.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("language")).alias("scope"), "author", cells).select("scope", "author", "x.*")
+    return sets.select("scope", "author", cells).select("scope", "author", "x.*")
+
+
+def scopes(rows: DataFrame, scope: str, by: list[str], values: dict[str, Column]) -> DataFrame:
+    """(scope, by, values): aggregates over all rows of each `by` (scope ALL) and over those of each scope; one pass."""
+    keys = [F.col(c) for c in by]
+    sets = rows.groupingSets([keys, [F.col(scope), *keys]], F.col(scope), *keys).agg(*[v.alias(n) for n, v in values.items()], F.grouping(scope).alias("_all"))
+    return sets.select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col(scope)).alias("scope"), *by, *values)
 
 
 def cwe_distribution(results: DataFrame) -> DataFrame:

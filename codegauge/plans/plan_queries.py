@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import masking, text
+from ..sources.store import spread
 from . import build, report
 from .registry import query, t
 
@@ -15,7 +16,8 @@ from .registry import query, t
 
 def _java_samples(spark, sf) -> DataFrame:
     """(id, code): a class, a method or a statement for each customer."""
-    rows = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n"))
+    customers = t(spark, sf, "customer")
+    rows = spread(customers.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n")), customers.count(), "id")
     kind = F.col("id") % 3
     whole = F.format_string("package p%d;\nimport a.B%d;\n\npublic class C%d {\n    int x;\n}", "n", "id", "id")
     method = F.format_string("import a.B%d;\npublic int m%d(int a) {\n    return a;\n}\n", "id", "id")

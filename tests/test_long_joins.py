@@ -28,3 +28,10 @@ def test_keys_meet_in_small_parts(spark, tmp_path):
 def test_hard_tasks_are_widened_where_they_were_dealt_to(spark, tmp_path):
     p = plan(plan_queries.hard_tasks(spark, folder(spark, tmp_path)))
     assert "REPARTITION_BY_NUM" in p and "ENSURE_REQUIREMENTS" not in p
+
+
+def test_grams_are_not_broadcast(spark):
+    from codegauge.operators import ngram
+
+    docs = spark.createDataFrame([(i, "ab"[i % 2], i % 3, ["x", "y", "z"][: 1 + i % 3]) for i in range(12)], "sample_idx long, author string, fold int, tokens array<string>")
+    assert plan(ngram.grid(docs, [2], 3)).count("BroadcastHashJoin") == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codegauge.llm import line_dedup, near_dedup, packing, quality_rules, shared, source_mix
+from codegauge.llm import line_dedup, near_dedup, packing, quality_rules, shared, simhash_dedup, source_mix
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near copies stays: fingerprints within two bits, by op3's pigeonring; then, of what is left, Jaccard similarity 0.8 or more of five-word shingles."""
+    return near_dedup.keep_one(shared.written(simhash_dedup.keep_one(docs), "near-fingerprints"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

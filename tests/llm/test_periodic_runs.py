@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from codegauge.llm import periodic_runs
+from codegauge.llm import periodic_runs, queries
 
 
 def brute(words, exponent=2, least=2):
@@ -53,3 +53,13 @@ def test_collapsed_rows(spark):
     assert got[2].collapsed_sha256 == hashlib.sha256(b"").hexdigest() == got[2].runs_sha256
     assert got[0].runs_sha256 == hashlib.sha256(b"0,10,2\n").hexdigest()
     assert periodic_runs.collapsed(docs.limit(0)).count() == 0
+
+
+def test_query_over_texts_without_words(spark, tmp_path):
+    texts = ["", " \n\t", None, "one", "to be or not"]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert sorted(got) == list(range(100))
+    assert all((r.n_runs, r.start, r.runs_sha256) == (0, None, nothing) and (r.collapsed_sha256 == nothing) == (i % 5 < 3) for i, r in got.items() if i % 5 < 4)

@@ -86,7 +86,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     probe = probe.select("fp", "s", "n", F.col("p.i").alias("i"), F.col("p.bit").alias("bit")).withColumn("x", pick("n", F.col("i") + 1))
     on = F.when(F.col("bit") >= 0, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
     probe = probe.where((F.col("bit") < 0) | (F.col("x").bitwiseAND(on) == 0)).select(F.col("fp").alias("a"), key(F.col("i"), F.col("x").bitwiseOR(on)).alias("k"))
-    pairs = probe.join(index, "k").where("a <> b").where(F.expr(f"bit_count(a ^ b) <= {int(distance)}"))
+    # Both sides have several rows for each fingerprint, which the planner does not count: neither is broadcast.
+    pairs = probe.join(index.hint("merge"), "k").where("a <> b").where(F.expr(f"bit_count(a ^ b) <= {int(distance)}"))
     chain = F.lit(False)  # some start keeps every prefix of its chain within the budget
     off = [F.expr(f"bit_count(shiftrightunsigned(a ^ b, {low[i]}) & {(1 << width[i]) - 1}L)") for i in range(m)]
     for i in range(m):
@@ -110,7 +111,7 @@ def dedup_groups(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, dist
     pairs = shared.written(links(nodes.select("fp"), distance), "fp-links")
     # Written, so that both sides of the join have exchanges of their own and the rows of a frequent fingerprint may be split.
     comps = shared.written(components_of(nodes, pairs), "fp-names")
-    return fps.join(comps, "fp").select("doc_id", "fp", "component_id", "n_links")
+    return fps.join(comps.hint("merge"), "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
 def components_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, distance
     comps = components_of(nodes, shared.written(links(nodes.select("fp"), distance), "fp-links"))
     k_id, k_n = shared.fresh(docs, "keeper", "copy")
     kept = comps.where("component_id is not null").select(F.col("component_id").alias(k_id)).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col(k_id), "left_semi")
+    named = docs.join(kept.hint("merge"), docs["doc_id"] == F.col(k_id), "left_semi")
     named = named.withColumn(k_n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(k_n) == 1).drop(k_n)
     # Rows without an id are told apart by their fingerprints alone; most tables have none and skip this scan.
     one = F.pandas_udf(lambda t: t.map(lambda x: np.array(fingerprint(x, shingle, seed), np.uint64).view(np.int64)), "long")

@@ -168,7 +168,7 @@ def dedup_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     none; then component_id is null, and its rows are kept. An empty table gives no rows.
     """
     rows, named = named_sets(docs, shingle, similarity)
-    found = rows.select("doc_id", "n_shingles", "h", "g").join(named.drop("one"), ["h", "g"], "left")
+    found = rows.select("doc_id", "n_shingles", "h", "g").join(named.drop("one").hint("merge"), ["h", "g"], "left")
     found = found.withColumn("component_id", F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -202,7 +202,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
     shared.drop_written(rows, named)
     k_id, k_n = shared.fresh(docs, "keeper", "copy")
     kept = groups.where("component_id is not null").select(F.col("component_id").alias(k_id)).distinct()
-    alike = docs.join(kept, docs["doc_id"] == F.col(k_id), "left_semi")
+    alike = docs.join(kept.hint("merge"), docs["doc_id"] == F.col(k_id), "left_semi")
     alike = alike.withColumn(k_n, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(k_n) == 1).drop(k_n)
     bare = groups.where("component_id is null").select(F.col("one").alias(k_id)).distinct()
     bare = docs.where("doc_id is null").withColumn(k_n, _at()).join(bare, F.col(k_n) == F.col(k_id), "left_semi").dropDuplicates([k_n]).drop(k_n)

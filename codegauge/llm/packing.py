@@ -162,7 +162,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     at = slots(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = got.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = got.join(first.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     keys = (at["length"] << 50) | at["low"]
 

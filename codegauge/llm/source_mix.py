@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     # A large group meets its plan in SALTS places, and is ranked in lots; equal rows get equal ranks and so equal copies.
     salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hashed = F.xxhash64("doc_id", "text_hash", F.lit(7))
-    placed = rows.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int")).join(salted, ["source_key", "size", "salt"])
+    placed = rows.withColumn("salt", F.pmod(hashed, F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["source_key", "size", "salt"])  # the planner does not count the salts: it would broadcast
     placed = placed.withColumn("lots", (F.col("n") / LOT).cast("long") + 1)
     placed = placed.withColumn("lot", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("lots")))
     share = lambda due: F.expr(f"((lot + 1) * {due}) div lots - (lot * {due}) div lots")
@@ -145,4 +145,4 @@ def mixed_rows(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> Dat
     i, h, s, c = shared.fresh(docs, "id", "hash", "source", "copies")
     got = mix(docs, weights, cap).where("copies > 0").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("source").alias(s), F.col("copies").cast("int").alias(c)).distinct()
     on = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h)) & docs["source"].eqNullSafe(F.col(s))
-    return docs.join(got, on).withColumn(c, F.explode(F.array_repeat(F.lit(1), F.col(c)))).select([docs[x] for x in docs.columns])
+    return docs.join(got.hint("merge"), on).withColumn(c, F.explode(F.array_repeat(F.lit(1), F.col(c)))).select([docs[x] for x in docs.columns])

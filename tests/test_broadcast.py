@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codegauge.llm import simhash_dedup
+from codegauge.llm import simhash_dedup, source_mix
 from codegauge.sources import store
 
 
@@ -22,6 +22,8 @@ def test_exploded_tables_are_not_broadcast(spark, docs):
     fps = store.written(simhash_dedup.fingerprints(docs), "fps").select("fp").distinct()
     assert "Broadcast" not in operators(simhash_dedup.links(fps))
     assert "Broadcast" not in operators(simhash_dedup.dedup_groups(docs))
+    assert "BroadcastExchange" not in operators(source_mix.mix(docs))
+    assert "BroadcastExchange" not in operators(source_mix.mixed_rows(docs))
 
 
 def test_tables_that_are_written_broadcast_small_ones_alone(spark, tmp_path, monkeypatch):
